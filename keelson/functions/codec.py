@@ -25,6 +25,8 @@ from ..schema import FieldSchema, SchemaRegistry, TableSchema, uvarint
 
 _FORMATS = {"double": "<d", "float": "<f", "bool": "<?", **dict.fromkeys(("int64", "sint64", "sfixed64"), "<q"), **dict.fromkeys(("uint64", "fixed64"), "<Q"), **dict.fromkeys(("int32", "sint32", "sfixed32", "enum"), "<i"), **dict.fromkeys(("uint32", "fixed32"), "<I")}
 INDEX_MARK = 0xFF
+#: Bytes that the size bound counts before a compressed field's data: one length more than is written.
+COMPRESSED_HEAD = 12
 
 
 def zstd_compress(data: bytes) -> bytes:
@@ -102,7 +104,8 @@ def decode_index_key(key: bytes) -> tuple[int, int, bytes]:
     return table_id, key[at], key[at + 1 :]
 
 
-def encode_record(table: TableSchema, record: dict, expires: int = 0) -> bytes:
+def encode_record(table: TableSchema, record: dict, expires: int = 0, pad: bool = False) -> bytes:
+    """pad: zero bytes up to `size_bound` follow, as stores write them that size their buffers before they compress."""
     out = [struct.pack("<q", expires)] if table.ttl_ns else []
     for f in table.fields:
         value = record[f.name]
@@ -121,7 +124,8 @@ def encode_record(table: TableSchema, record: dict, expires: int = 0) -> bytes:
                 out += [struct.pack("<II", len(packed), len(data)), packed]
             else:
                 out += [struct.pack("<I", len(data)), data]
-    return b"".join(out)
+    whole = b"".join(out)
+    return whole.ljust(size_bound(table, record), b"\0") if pad else whole
 
 
 class _Bytes:
@@ -182,7 +186,7 @@ def size_bound(table: TableSchema, record: dict) -> int:
         if f.repeated:
             total += 4 + sum(f.width or 4 + len(pack_scalar(f, x)) for x in v)
         else:
-            total += f.width or (8 if table.compressed(f) else 4) + len(pack_scalar(f, v))
+            total += f.width or (COMPRESSED_HEAD if table.compressed(f) else 4) + len(pack_scalar(f, v))
     return total
 
 
@@ -201,7 +205,7 @@ def key_part_column(f: FieldSchema, value: Column) -> Column:
     if f.type == "bytes":
         return value
     if f.type in ("uint64", "fixed64"):
-        value = F.when(value >= F.lit(1 << 63).cast("decimal(20,0)"), value - F.lit(1 << 64).cast("decimal(21,0)")).otherwise(value)
+        value = F.when(value >= F.lit(str(1 << 63)).cast("decimal(20,0)"), value - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(value)
     if f.is_number and f.type not in ("double", "float"):
         return little_endian(value, f.width)
     return F.to_binary(value.cast("string"), F.lit("utf-8"))
@@ -219,7 +223,7 @@ def encode_index_key_column(table: TableSchema, field: str) -> Column:
 
 def size_column(table: TableSchema) -> Column:
     """`size_bound` as an expression, for tables without repeated fields."""
-    fixed = sum(f.width or (8 if table.compressed(f) else 4) for f in table.fields) + (8 if table.ttl_ns else 0)
+    fixed = sum(f.width or (COMPRESSED_HEAD if table.compressed(f) else 4) for f in table.fields) + (8 if table.ttl_ns else 0)
     varying = [F.octet_length(f.name).cast("long") for f in table.fields if not f.width]
     return sum(varying, F.lit(fixed).cast("long"))
 

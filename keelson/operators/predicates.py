@@ -39,6 +39,8 @@ def operators_of(f: FieldSchema) -> tuple[str, ...]:
 
 
 def _literal(f: FieldSchema, value: Any) -> Column:
+    if isinstance(f.spark, T.DecimalType):
+        value = str(value)
     return F.lit(bytearray(value) if isinstance(value, bytes) else value).cast(f.spark)
 
 

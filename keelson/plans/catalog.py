@@ -286,7 +286,7 @@ def truncation_flag(spark, sf_dir):
     return read(spark, sf_dir, DOCUMENTS).select("doc_id", text.truncated(F.col("text"), text.CLEAN_BYTES).alias("truncated"))
 
 
-@_query("SELECT doc_id, 8 + 8 + 4 + 4 + 8 + octet_length(encode(text)) + octet_length(encode(lang)) + octet_length(encode(source)) AS size FROM documents")
+@_query("SELECT doc_id, 8 + 12 + 4 + 4 + 8 + octet_length(encode(text)) + octet_length(encode(lang)) + octet_length(encode(source)) AS size FROM documents")
 def size_estimate(spark, sf_dir):
     return read(spark, sf_dir, DOCUMENTS).select("doc_id", codec.size_column(DOCUMENTS).alias("size"))
 

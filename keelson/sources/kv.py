@@ -55,20 +55,20 @@ class KeyValueStore:
         self.store.check_open()
         ops = [(kind, self._key(key), value) for kind, key, value in ops]
         self.store.write_batch([(kind, self.table, {"key": bytearray(k), "value": bytearray(v or b"")} if kind == "put" else bytearray(k)) for kind, k, v in ops])
-        if self.cache:
+        if self.cache is not None:
             for _, key, _ in ops:
                 self.cache.delete(key)
 
     def get(self, key: bytes) -> bytes | None:
         self.store.check_open()
         key = self._key(key)
-        if self.cache and (hit := self.cache.get(key)) is not None:
+        if self.cache is not None and (hit := self.cache.get(key)) is not None:
             return hit
         row = self.table.query().where("key", "=", key).first()
         if row is None:
             return None
         value = bytes(row["value"])
-        if self.cache:
+        if self.cache is not None:
             self.cache.record(key, value)
         return value
 

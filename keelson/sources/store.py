@@ -75,6 +75,11 @@ class Store:
         if self._closed:
             raise StoreClosed(self.config.root)
 
+    def check_writable(self) -> None:
+        self.check_open()
+        if self.read_only:
+            raise KeelsonError("the store is open for reading only")
+
     def __enter__(self) -> Store:
         return self
 
@@ -98,9 +103,7 @@ class Store:
 
     def commit(self, change: Callable[[dict], None], attempts: int = 20) -> int:
         """Applies a change to the newest manifest and publishes it under the next number."""
-        self.check_open()
-        if self.read_only:
-            raise KeelsonError("the store is open for reading only")
+        self.check_writable()
         with self._lock:
             for _ in range(attempts):
                 m = self.manifest()
@@ -114,7 +117,7 @@ class Store:
 
     def write_batch(self, ops: Iterable[tuple[str, RecordTable, Any]]) -> int:
         """All of ("put", table, record) and ("delete", table, pk) or nothing; the later of two on one key wins."""
-        self.check_open()
+        self.check_writable()
         by_table: dict[str, tuple[RecordTable, list]] = {}
         for order, (kind, table, what) in enumerate(ops):
             if what is None:
@@ -225,12 +228,12 @@ class RecordTable:
 
     def _stage(self, log: DataFrame, files: int | None = None) -> tuple[str, int]:
         """Writes a segment that no manifest names yet; its path and rows."""
+        self.store.check_writable()
         path = f"tables/{self.schema.name}/{uuid.uuid4().hex}"
         (log.coalesce(files) if files else log).write.option("compression", "zstd").parquet(self.store.files.path(path))
         return path, self.spark.read.schema(log.schema).parquet(self.store.files.path(path)).count()
 
     def _append(self, log: DataFrame, kind: str) -> int:
-        self.store.check_open()
         path, rows = self._stage(log)
 
         def publish(m: dict) -> None:

@@ -1,0 +1,78 @@
+import pytest
+from pyspark.sql import types as T
+
+from keelson.errors import SchemaError, UnknownField
+from keelson.schema import SECOND, FieldSchema, SchemaRegistry, TableSchema, lower_first, parse_proto, parse_ttl, pascal_name, uvarint
+
+from .schemas import SESSION, TEXT, USER
+
+
+def test_tables_and_ids():
+    assert [(t.name, t.table_id, t.primary_key) for t in (USER, SESSION)] == [("User", 1, "id"), ("Session", 2, "id")]
+    assert [f.index for f in USER.fields] == ["none", "none", "unique", "normal", "none", "none"]
+    assert USER.compressed(USER.field("bio")) and not USER.compressed(USER.field("name"))
+    assert SESSION.ttl_ns == SECOND and SESSION.compress_threshold == 10 and USER.ttl_ns == 0
+    assert SESSION.field("kind").type == "enum" and SESSION.field("tags").spark == T.ArrayType(T.StringType(), False)
+
+
+def test_ids_run_over_files():
+    again = TEXT.replace("User", "Person").replace("Session", "Visit")
+    assert [t.table_id for t in parse_proto(TEXT, again)] == [1, 2, 3, 4]
+
+
+def test_spark_types():
+    kinds = {"double": "double", "float": "float", "int64": "bigint", "sint64": "bigint", "uint64": "decimal(20,0)", "fixed64": "decimal(20,0)", "int32": "int", "uint32": "bigint", "bool": "boolean", "string": "string", "bytes": "binary", "enum": "int"}
+    assert {k: FieldSchema("x", k, 1).spark.simpleString() for k in kinds} == kinds
+
+
+@pytest.mark.parametrize("text,ns", [("30s", 30), ("5m", 300), ("24h", 86400), ("7d", 604800), ("1h30m", 5400)])
+def test_ttl(text, ns):
+    assert parse_ttl(text) == ns * SECOND
+
+
+def test_ttl_parts_of_a_second():
+    assert parse_ttl("500ms") == SECOND // 2 and parse_ttl("1.5s") == 3 * SECOND // 2
+
+
+@pytest.mark.parametrize("text", ["0s", "-5m", "-1d", "0d", "abc d", "", "abc", "1.5d", "5", "5x"])
+def test_bad_ttl(text):
+    with pytest.raises(SchemaError):
+        parse_ttl(text)
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        'option (r.table).primary_key = "nope"; int64 id = 1;',
+        'option (r.table).primary_key = "id"; int64 id = 1; int64 b = 2 [(r.field).primary_key = true];',
+        'option (r.table).primary_key = "id"; int64 id = 1; Other o = 2;',
+        'option (r.table).primary_key = "id"; int64 id = 1; map<string, string> m = 2;',
+        'option (r.table).primary_key = "id"; int64 id = 1; string t = 2 [(r.field).ttl = "1.5d"];',
+        'option (r.table).primary_key = "id"; int64 id = 1',
+    ],
+)
+def test_bad_tables(body):
+    with pytest.raises(SchemaError):
+        parse_proto(f"message X {{ {body} }}")
+
+
+def test_table_ids_that_read_as_index_keys():
+    with pytest.raises(SchemaError):
+        TableSchema.declare("t", [("id", "int64")], "id", table_id=255)
+
+
+def test_names_and_numbers():
+    assert (pascal_name("created_at"), lower_first("User")) == ("CreatedAt", "user")
+    assert [uvarint(n) for n in (0, 1, 127, 128, 300)] == [b"\0", b"\1", b"\x7f", b"\x80\1", b"\xac\2"]
+    with pytest.raises(UnknownField):
+        USER.field("nope")
+
+
+def test_registry(spark):
+    r = SchemaRegistry()
+    r.import_proto(TEXT)
+    assert r.by_id(2).name == "Session" and r.by_name("User").table_id == 1 and r.by_id(9) is None
+    rows = r.describe(spark).where("table = 'User' AND compress").collect()
+    assert [x["field"] for x in rows] == ["bio"]
+    r.clear()
+    assert r.tables() == []
