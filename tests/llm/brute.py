@@ -1,0 +1,89 @@
+"""Plain versions of the operators, for small fixtures."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import xxhash
+
+_UP = {c: c + 32 for c in range(65, 91)}
+_CODE = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return (text or "").translate(_UP)
+
+
+def code_words(text):
+    return _CODE.findall(lower(text))
+
+
+def blank_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+
+
+def fold(doc_id, k):
+    return -1 if doc_id is None else zlib.crc32(str(doc_id).encode()) % k
+
+
+def shingles(text, k):
+    w = blank_words(text)
+    return [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+
+
+def simhash(text, k=3):
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text, k)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def components(n, linked):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def lines(rows, chars=20, docs=3):
+    """rows: (doc_id, text). Per row n_lines, n_dropped, kept text."""
+    key = lambda line: lower(line.strip(" \t\n\r\x0b\f"))
+    held = defaultdict(list)
+    for doc_id, text in rows:
+        for k in {key(x) for x in (text or "").split("\n")}:
+            if len(k) >= chars:
+                held[k].append(-(2**63) if doc_id is None else doc_id)
+    out = []
+    for doc_id, text in rows:
+        own, split = -(2**63) if doc_id is None else doc_id, (text or "").split("\n")
+        keep = [x for x in split if len(held[key(x)]) < docs or max(held[key(x)]) == own]
+        out.append((len(split), len(split) - len(keep), "\n".join(keep)))
+    return out
+
+
+def contamination(text, items, window=10):
+    """n_words, n_hit, items found."""
+    words, hit, found = code_words(text), set(), set()
+    for item_id, item in items:
+        w = code_words(item)
+        if item_id is None or not w:
+            continue
+        for i in range(max(0, len(w) - window) + 1):
+            g = w[i : i + window]
+            for p in range(len(words) - len(g) + 1):
+                if words[p : p + len(g)] == g:
+                    hit.update(range(p, p + len(g)))
+                    found.add(str(item_id))
+    return len(words), len(hit), sorted(found)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
