@@ -26,7 +26,7 @@ def canon(frame):
 def test_against_duckdb(spark, duck, name):
     got = catalog.QUERIES[name](spark, SMALL).toPandas()
     if name in catalog.ORACLES:
-        want = duck.sql(catalog.ORACLES[name]).df()
+        want = duck.execute(catalog.ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns) and canon(got) == canon(want)
         assert {c: str(got[c].dtype) for c in got} == {c: str(want[c].dtype) for c in got}
     else:
