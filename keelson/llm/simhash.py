@@ -12,8 +12,9 @@ Equal fingerprints meet in one row before any of this, so thousands of copies ar
 
 Similarity search. At a similarity of 0.8 over 5-word shingles the fingerprints differ in about ten bits, where no
 triangle bound prunes anything in 64 dimensions. `near_duplicates` therefore takes its shards from the documents'
-smallest shingle hashes under SKETCHES orders (a pair at 0.8 shares none with a chance of 0.2 ** SKETCHES) and finds
-the pairs within the radius by fingerprint in each shard.
+smallest shingle hashes under SKETCHES orders (a pair at 0.8 shares none with a chance of 0.2 ** SKETCHES), links the
+fingerprints within the radius in each shard by a minimum spanning forest, and keeps the edges whose shingle sets have
+the similarity.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows share a fingerprint
 and a component; a null doc_id takes the smallest other id of its component, null if there is none; other columns
@@ -138,18 +139,28 @@ class VantageTree:
             todo += [(self.inner[node], at[d <= self.mu[node]]), (self.outer[node], at[d > self.mu[node] - self.radius])]
 
 
-def link_forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the points (distinct, unsigned) at radius or fewer bits; every pair is compared."""
+def link_forest(points: np.ndarray, radius: int, nearest: bool = False) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the points (distinct, unsigned) at radius or fewer bits; every pair is compared.
+
+    nearest: a minimum spanning forest, whose edges up to any smaller distance span that distance's components.
+    """
     n, edges = len(points), []
-    label = np.arange(n)
     step = max(1, (1 << 21) // max(1, n))
+    close = np.zeros(n, dtype=bool)
     for i in range(0, n, step):
-        near = np.bitwise_count(points[i : i + step, None] ^ points[None, i:]) <= radius
+        close[i : i + step] = (np.bitwise_count(points[i : i + step, None] ^ points[None, :]) <= radius).sum(axis=1) > 1
+    points = points[close]
+    if not len(points):
+        return edges
+    label = np.arange(len(points))
+    bits = np.concatenate([np.bitwise_count(points[i : i + step, None] ^ points[None, :]) for i in range(0, len(points), step)])
+    for level in range(radius + 1) if nearest else (radius,):
+        near = bits <= level
         for k in np.nonzero(near.sum(axis=1) > 1)[0]:
-            at = i + np.nonzero(near[k])[0]
+            at = np.nonzero(near[k])[0]
             labels, first = np.unique(label[at], return_index=True)
             if len(labels) > 1:
-                edges += [(int(points[i + k]), int(points[at[j]])) for j, x in zip(first, labels, strict=True) if x != label[i + k]]
+                edges += [(int(points[k]), int(points[at[j]])) for j, x in zip(first, labels, strict=True) if x != label[k]]
                 label[np.isin(label, labels)] = labels[0]
     return edges
 
@@ -158,16 +169,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forests(radius: int):
+def _forests(radius: int, nearest: bool):
     def run(table: pa.Table) -> pa.Table:
         points = np.unique(table.column("fp").to_numpy().astype(np.int64).view(np.uint64))
-        edges = link_forest(points, radius)
+        edges = link_forest(points, radius, nearest)
         return pa.table({"a": pa.array([_signed(a) for a, _ in edges], pa.int64()), "b": pa.array([_signed(b) for _, b in edges], pa.int64())})
 
     return run
 
 
-def shard_edges(shards: DataFrame, radius: int) -> DataFrame:
+def shard_edges(shards: DataFrame, radius: int, nearest: bool = False) -> DataFrame:
     """Spanning edges within each shard of the distinct rows (shard, fp). Shards above SHARD_ROWS go in pairs of tiles."""
     shards = materialize(shards.distinct(), "shards")
     sizes = materialize(shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
@@ -175,7 +186,7 @@ def shard_edges(shards: DataFrame, radius: int) -> DataFrame:
     rows = shards.join(sizes, "shard").select("shard", "fp", tiles.alias("tiles")).withColumn("t", F.pmod(F.xxhash64(F.lit("tile"), "fp"), F.col("tiles")))
     other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     rows = rows.select("shard", "fp", "t", other.alias("o")).select("fp", F.xxhash64("shard", F.least("t", "o"), F.greatest("t", "o")).alias("task"))
-    return rows.groupBy("task").applyInArrow(_forests(radius), "a long, b long")
+    return rows.groupBy("task").applyInArrow(_forests(radius, nearest), "a long, b long")
 
 
 def vantage_shards(prints: DataFrame, radius: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -196,10 +207,13 @@ def vantage_shards(prints: DataFrame, radius: int, leaf_rows: int = LEAF_ROWS) -
     return prints.select("fp").mapInArrow(route, "shard long, fp long")
 
 
-def components_of(prints: DataFrame, radius: int, shards: DataFrame | None = None) -> DataFrame:
-    """(fp, root, component_id) for the written table prints (doc_id, fp): the smallest doc_id reachable over links."""
-    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "points")
-    edges = shard_edges(vantage_shards(points, radius) if shards is None else shards, radius)
+def distinct_prints(prints: DataFrame) -> DataFrame:
+    """(fp, low): the written fingerprints with the smallest doc_id of each."""
+    return materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "points")
+
+
+def components_of(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, root, component_id) for the table points (fp, low): the smallest doc_id reachable over the edges (a, b)."""
     roots = materialize(connected_components(edges).withColumnRenamed("node", "fp"), "roots")
     rooted = points.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
@@ -209,20 +223,46 @@ def components_of(prints: DataFrame, radius: int, shards: DataFrame | None = Non
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row of docs."""
     prints = materialize(fingerprints(docs, words).select("doc_id", "fp"), "fingerprints")
-    found = components_of(prints, radius)
+    points = distinct_prints(prints)
+    found = components_of(points, shard_edges(vantage_shards(points, radius), radius))
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 12, sketches: int = SKETCHES) -> DataFrame:
+def _shingle_sets(words: int):
+    def run(batches):
+        for batch in batches:
+            for fp, text in zip(batch.column("fp"), batch.column("text"), strict=True):
+                blocks = list(shingle_hashes(text.as_py(), words))
+                own = np.unique(np.concatenate(blocks)).view(np.int64) if blocks else np.empty(0, dtype=np.int64)
+                yield pa.RecordBatch.from_pydict({"fp": pa.array([fp.as_py()], pa.int64()), "s": pa.array([own], pa.list_(pa.int64()))})
+
+    return run
+
+
+def similar_edges(numbered: DataFrame, row: str, prints: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose shingle sets have at least the Jaccard similarity; a fingerprint's first row stands for it."""
+    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    linked = materialize(edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct(), "linked")
+    first = materialize(prints.select("fp", "row").join(small_side(linked, 16), "fp").groupBy("fp").agg(F.min("row").alias(row)), "first")
+    texts = numbered.select(F.col(row), F.col("text").cast("binary").alias("text")).join(small_side(first, 24), row)
+    sets = materialize(texts.select("fp", "text").mapInArrow(_shingle_sets(words), "fp long, s array<long>"), "sets")
+    one, two = sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), sets.select(F.col("fp").alias("b"), F.col("s").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    return materialize(edges.join(one, "a").join(two, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 24, sketches: int = SKETCHES) -> DataFrame:
     """docs with one row of each near-duplicate group: that with the smallest doc_id, of equal ids the first row written.
 
-    Texts without words are one group.
+    Candidates are the nearest links within the radius in each shard; those below the similarity are cut. Texts without
+    words are one group.
     """
     row = fresh(docs.columns, "_row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     prints = materialize(fingerprints(numbered, words, sketches, row), "fingerprints")
     shards = prints.select("fp", F.posexplode("mins").alias("k", "m")).select(F.xxhash64("k", "m").alias("shard"), "fp")
-    found = components_of(prints.select("doc_id", "fp"), radius, shards)
+    edges = similar_edges(numbered, row, prints, shard_edges(shards, radius, nearest=True), words, similarity)
+    found = components_of(distinct_prints(prints.select("doc_id", "fp")), edges)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("row").alias("r")))
     stay = prints.select("row", "doc_id", "fp").join(found, "fp").groupBy("root").agg(best.alias("k"))
     return numbered.join(small_side(materialize(stay.select(F.col("k.r").alias(row)), "stay"), 16), row, "left_semi").drop(row)

@@ -147,6 +147,19 @@ def test_vantage_tree_keeps_close_pairs_together(radius):
     assert (len(leaves) > 1 or radius > 3) and all(any({i, i + 400} <= leaf for leaf in leaves) for i in range(400))
 
 
+def test_nearest_forest():
+    rng = np.random.default_rng(2)
+    seed = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    points = np.unique(np.array([p ^ np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 9)).astype(np.uint64), initial=np.uint64(0)) for p in seed for _ in range(30)], dtype=np.uint64))
+    edges = simhash.link_forest(points, 12, nearest=True)
+    at = {int(p): i for i, p in enumerate(points)}
+    bits = lambda i, j: (int(points[i]) ^ int(points[j])).bit_count()
+    for level in (2, 5, 9, 12):
+        forest = {(at[a], at[b]) for a, b in edges if bits(at[a], at[b]) <= level}
+        want = brute.components(len(points), lambda i, j: bits(i, j) <= level)  # noqa: B023
+        assert want == brute.components(len(points), lambda i, j: (i, j) in forest or (j, i) in forest)  # noqa: B023
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 160)] + [(int(a), int(b)) for a, b in rng.integers(200, 260, (40, 2))] + [(7, 7), (300, 300), (None, 3)]
