@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,21 @@ def fresh(columns: list[str], base: str) -> str:
     return name
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that tells its rows apart on every read, and that column's name.
+
+    Rows that come straight from files are told by file and position; others are written with a number.
+    """
+    row = fresh(docs.columns, "_row")
+    if "_metadata" not in (c.lower() for c in docs.columns):
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+        try:
+            return docs.select("*", place.alias(row)), row
+        except AnalysisException:  # no plain scan of files
+            pass
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def small_side(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Marks a materialized df for broadcast if its counted rows fit BROADCAST_BYTES; else leaves the join to shuffle."""
     rows = df.count() if rows is None else rows

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_words, fresh, materialize, read_table, small_side
+from .common import code_words, materialize, numbered, read_table, small_side
 
 WINDOW, SHINGLE = 10, 2
 #: Up to so many prefix shingles are tested within the row before the join; beyond, the join alone tests them.
@@ -113,10 +113,9 @@ def contamination_report(docs: DataFrame, items: DataFrame, window: int = WINDOW
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs that hold no window."""
-    row = fresh(docs.columns, "_row")
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    _, hits = contamination(numbered, items, window, shingle, row)
-    return numbered.join(small_side(hits.select(F.col("row").alias(row)), 16), row, "left_anti").drop(row)
+    rows, row = numbered(docs)
+    _, hits = contamination(rows, items, window, shingle, row)
+    return rows.join(small_side(hits.select(F.col("row").alias(row)), 32), row, "left_anti").drop(row)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,25 +37,35 @@ SAMPLE = 8_000
 STEPS, TOLERANCE = 60, 1e-4
 
 
-def _members(models, domains: list[int]):
-    """(row, n, p) of every text."""
+class Posteriors:
+    """Tokens and domain posteriors of texts."""
 
-    def run(batches):
-        tables, hasher = [], Hasher()
+    def __init__(self, models, domains: list[int]):
+        self.tables, self.hasher = [], Hasher()
         for d in domains:
             w, bias = np.zeros(1 << BITS), -35.0
-            if d in models.value:
-                at, values, bias = models.value[d]
+            if d in models:
+                at, values, bias = models[d]
                 w[at] = values
-            tables.append((w, bias))
+            self.tables.append((w, bias))
+
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        n, p = np.zeros(len(texts), dtype=np.int64), np.zeros((len(texts), len(self.tables)))
+        for i, text in enumerate(t.as_py() for t in texts):
+            at = self.hasher(text)
+            n[i] = len(_WORD.findall((text or b"").lower()))
+            p[i] = [float(sigmoid(w[at].sum() + bias)) for w, bias in self.tables]
+        return n, p / p.sum(axis=1, keepdims=True)
+
+
+def _members(models, domains: list[int]):
+    """(doc_id, n, p) of every text."""
+
+    def run(batches):
+        posteriors = Posteriors(models.value, domains)
         for batch in batches:
-            n, p = [], []
-            for text in batch.column("text"):
-                at = hasher(text.as_py())
-                n.append(len(_WORD.findall((text.as_py() or b"").lower())))
-                one = np.array([float(sigmoid(w[at].sum() + bias)) for w, bias in tables])
-                p.append((one / one.sum()).tolist())
-            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "p": pa.array(p, pa.list_(pa.float64()))})
+            n, p = posteriors(batch.column("text"))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(n), "p": pa.array(p.tolist(), pa.list_(pa.float64()))})
 
     return run
 
@@ -108,41 +118,71 @@ def fit_rates(members: DataFrame, targets: np.ndarray, ridge: float = RIDGE, ste
     return descent
 
 
+def _final(descent: Descent, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Rates after all steps; texts without tokens keep rate 1."""
+    return np.where(n > 0, descent.rates(p)[0], 1.0)
+
+
 def _rated(shared):
     def run(batches):
         for batch in batches:
             p = np.stack(batch.column("p").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, len(shared.value.targets)))
-            rate, _ = shared.value.rates(p)
-            rate = np.where(batch.column("n").to_numpy(zero_copy_only=False) > 0, rate, 1.0)
+            rate = _final(shared.value, batch.column("n").to_numpy(zero_copy_only=False), p)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "rate"])
 
     return run
 
 
-def mixture_rates(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | None = None, learn_from: DataFrame | None = None, budget: float = BUDGET, ridge: float = RIDGE, row: str | None = None, domain: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """row, doc_id, n (tokens), p (posteriors in the order of the sorted domains), rate and copies for every row of docs."""
+def _rate_texts(models, domains: list[int], shared, names: list[str]):
+    """Appends tokens and rate, and takes _text away."""
+
+    def run(batches):
+        posteriors = Posteriors(models.value, domains)
+        for batch in batches:
+            n, p = posteriors(batch.column("_text"))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(n), pa.array(_final(shared.value, n, p))], names=[*names, "n", "rate"])
+
+    return run
+
+
+def _copies(doc_id: str, n: str, rate: str):
+    chance = F.pmod(F.xxhash64(F.lit("copies"), F.col(doc_id).cast("long"), n), F.lit(1 << 40)) / float(1 << 40)
+    return (F.floor(rate) + (chance < F.col(rate) - F.floor(rate)).cast("int")).cast("int")
+
+
+def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | None = None, learn_from: DataFrame | None = None, budget: float = BUDGET, ridge: float = RIDGE, domain: str = "quality", sample: int = SAMPLE):
+    """The broadcast classifier, the sorted domains, the written members (doc_id, n, p) and the broadcast descent."""
     targets = targets or TARGETS
     domains = sorted(targets)
     share = np.array([targets[d] for d in domains], dtype=float)
     learned = train(labelled_sample(docs if learn_from is None else learn_from, labels, domain, sample), domains)
-    models = docs.sparkSession.sparkContext.broadcast(learned)
-    given = docs.select((F.col(row) if row else F.lit(0)).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    members = materialize(given.mapInArrow(_members(models, domains), "row long, doc_id long, n long, p array<double>"), "members")
-    descent = fit_rates(members, budget * share / share.sum(), ridge)
-    shared = docs.sparkSession.sparkContext.broadcast(descent)
-    rated = members.mapInArrow(_rated(shared), "row long, doc_id long, n long, p array<double>, rate double")
-    chance = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "n"), F.lit(1 << 40)) / float(1 << 40)
-    return rated.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
-
-
-def apply_mixture(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | None = None, learn_from: DataFrame | None = None) -> DataFrame:
-    """The rows of docs that the mixture takes at least once, with rate and copies."""
-    row = fresh(docs.columns, "_row")
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    rates = mixture_rates(numbered, labels, targets, learn_from, row=row)
+    context = docs.sparkSession.sparkContext
+    models = context.broadcast(learned)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    members = materialize(given.mapInArrow(_members(models, domains), "doc_id long, n long, p array<double>"), "members")
+    return models, domains, members, context.broadcast(fit_rates(members, budget * share / share.sum(), ridge))
+
+
+def mixture_rates(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | None = None, learn_from: DataFrame | None = None, **more) -> DataFrame:
+    """doc_id, n (tokens), p (posteriors in the order of the sorted domains), rate and copies for every row of docs."""
+    _, _, members, shared = fit_mixture(docs, labels, targets, learn_from, **more)
+    rated = members.mapInArrow(_rated(shared), "doc_id long, n long, p array<double>, rate double")
+    return rated.withColumn("copies", _copies("doc_id", "n", "rate"))
+
+
+def apply_mixture(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | None = None, learn_from: DataFrame | None = None, **more) -> DataFrame:
+    """The rows of docs that the mixture takes at least once, with rate and copies.
+
+    The texts' posteriors are computed again where they are read, so no text is shuffled to meet its rate.
+    """
+    models, domains, _, shared = fit_mixture(docs, labels, targets, learn_from, **more)
     rate, copies = fresh(docs.columns, "rate"), fresh(docs.columns, "copies")
-    taken = materialize(rates.where("copies > 0").select(F.col("row").alias(row), F.col("rate").alias(rate), F.col("copies").alias(copies)), "taken")
-    return numbered.join(taken, row).drop(row)
+    given = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("text").cast("binary").alias("_text"))
+    names = given.columns[:-1]
+    rated = given.mapInArrow(_rate_texts(models, domains, shared, names), given.drop("_text").schema.add("n", "long").add("rate", "double"))
+    key = f"c{docs.columns.index('doc_id')}"
+    out = rated.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("rate").alias(rate), _copies(key, "n", "rate").alias(copies))
+    return out.where(F.col(copies) > 0)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, read_table, small_side
+from .common import materialize, numbered, read_table, small_side
 from .components import connected_components
 
 #: Shingles hashed at once.
@@ -40,6 +40,8 @@ BLOCK = 1 << 18
 SAMPLE = 20_000
 #: Fingerprints of one leaf that the trees aim at, and the most in one tile.
 LEAF_ROWS, SHARD_ROWS = 1024, 2048
+#: Rows of shards that one partition takes.
+TASK_ROWS = 200_000
 #: Min-wise orders of the similarity search.
 SKETCHES = 4
 #: Fixed odd multipliers of the min-wise orders.
@@ -89,8 +91,8 @@ def _fingerprints(words: int, sketches: int):
 
 def fingerprints(docs: DataFrame, words: int = 3, sketches: int = 0, row: str | None = None) -> DataFrame:
     """(row, doc_id, fp[, mins]) for every row of docs, over whole texts."""
-    given = docs.select((F.col(row) if row else F.lit(0)).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return given.mapInArrow(_fingerprints(words, sketches), "row long, doc_id long, fp long" + ", mins array<long>" * bool(sketches))
+    given = docs.select((F.col(row) if row else F.lit(0)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return given.mapInArrow(_fingerprints(words, sketches), f"row {dict(given.dtypes)['row']}, doc_id long, fp long" + ", mins array<long>" * bool(sketches))
 
 
 class VantageTree:
@@ -170,14 +172,28 @@ def _signed(x: int) -> int:
 
 
 def _forests(radius: int, nearest: bool):
-    def run(table: pa.Table) -> pa.Table:
-        points = np.unique(table.column("fp").to_numpy().astype(np.int64).view(np.uint64))
-        edges = link_forest(points, radius, nearest)
-        return pa.table({"a": pa.array([_signed(a) for a, _ in edges], pa.int64()), "b": pa.array([_signed(b) for _, b in edges], pa.int64())})
+    """Edges of the forests of all tasks of a partition that is sorted by task; holds one task at a time."""
+
+    def run(batches):
+        tasks, points = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        for batch in batches:
+            tasks = np.concatenate([tasks, batch.column("task").to_numpy(zero_copy_only=False)])
+            points = np.concatenate([points, batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)])
+            done = np.searchsorted(tasks, tasks[-1]) if len(tasks) else 0
+            yield _edges(tasks[:done], points[:done], radius, nearest)
+            tasks, points = tasks[done:], points[done:]
+        yield _edges(tasks, points, radius, nearest)
 
     return run
 
 
+def _edges(tasks: np.ndarray, points: np.ndarray, radius: int, nearest: bool) -> pa.RecordBatch:
+    edges = []
+    for own in np.split(points, np.nonzero(np.diff(tasks))[0] + 1):
+        edges += link_forest(np.unique(own), radius, nearest)
+    return pa.RecordBatch.from_pydict({"a": pa.array([_signed(a) for a, _ in edges], pa.int64()), "b": pa.array([_signed(b) for _, b in edges], pa.int64())})
+
+
 def shard_edges(shards: DataFrame, radius: int, nearest: bool = False) -> DataFrame:
     """Spanning edges within each shard of the distinct rows (shard, fp). Shards above SHARD_ROWS go in pairs of tiles."""
     shards = materialize(shards.distinct(), "shards")
@@ -186,7 +202,9 @@ def shard_edges(shards: DataFrame, radius: int, nearest: bool = False) -> DataFr
     rows = shards.join(sizes, "shard").select("shard", "fp", tiles.alias("tiles")).withColumn("t", F.pmod(F.xxhash64(F.lit("tile"), "fp"), F.col("tiles")))
     other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     rows = rows.select("shard", "fp", "t", other.alias("o")).select("fp", F.xxhash64("shard", F.least("t", "o"), F.greatest("t", "o")).alias("task"))
-    return rows.groupBy("task").applyInArrow(_forests(radius, nearest), "a long, b long")
+    # a count of partitions of its own: the rows are few bytes and much work, and would be merged into few tasks
+    parts = max(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards.count() // TASK_ROWS))
+    return rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_forests(radius, nearest), "a long, b long")
 
 
 def vantage_shards(prints: DataFrame, radius: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -239,12 +257,12 @@ def _shingle_sets(words: int):
     return run
 
 
-def similar_edges(numbered: DataFrame, row: str, prints: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
+def similar_edges(docs: DataFrame, row: str, prints: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
     """The edges (a, b) whose shingle sets have at least the Jaccard similarity; a fingerprint's first row stands for it."""
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     linked = materialize(edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct(), "linked")
     first = materialize(prints.select("fp", "row").join(small_side(linked, 16), "fp").groupBy("fp").agg(F.min("row").alias(row)), "first")
-    texts = numbered.select(F.col(row), F.col("text").cast("binary").alias("text")).join(small_side(first, 24), row)
+    texts = docs.select(F.col(row), F.col("text").cast("binary").alias("text")).join(small_side(first, 40), row)
     sets = materialize(texts.select("fp", "text").mapInArrow(_shingle_sets(words), "fp long, s array<long>"), "sets")
     one, two = sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), sets.select(F.col("fp").alias("b"), F.col("s").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -257,15 +275,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     Candidates are the nearest links within the radius in each shard; those below the similarity are cut. Texts without
     words are one group.
     """
-    row = fresh(docs.columns, "_row")
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    prints = materialize(fingerprints(numbered, words, sketches, row), "fingerprints")
+    rows, row = numbered(docs)
+    prints = materialize(fingerprints(rows, words, sketches, row), "fingerprints")
     shards = prints.select("fp", F.posexplode("mins").alias("k", "m")).select(F.xxhash64("k", "m").alias("shard"), "fp")
-    edges = similar_edges(numbered, row, prints, shard_edges(shards, radius, nearest=True), words, similarity)
+    edges = similar_edges(rows, row, prints, shard_edges(shards, radius, nearest=True), words, similarity)
     found = components_of(distinct_prints(prints.select("doc_id", "fp")), edges)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("row").alias("r")))
     stay = prints.select("row", "doc_id", "fp").join(found, "fp").groupBy("root").agg(best.alias("k"))
-    return numbered.join(small_side(materialize(stay.select(F.col("k.r").alias(row)), "stay"), 16), row, "left_semi").drop(row)
+    gone = prints.select("row").join(materialize(stay.select(F.col("k.r").alias("row")), "stay"), "row", "left_anti")
+    return rows.join(small_side(materialize(gone.select(F.col("row").alias(row)), "gone"), 32), row, "left_anti").drop(row)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
