@@ -150,7 +150,7 @@ def repeated_line_index(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     return materialize(dealt, "shards"), n
 
 
-def _probe(shards, n: int, min_chars: int, digest: bool, names: list[str]):
+def _probe(shards, n: int, min_chars: int, min_docs: int, digest: bool, names: list[str]):
     """Rows as they came with the text's lines dropped, and how many lines there were and how many went."""
 
     def run(batches):
@@ -172,7 +172,7 @@ def _probe(shards, n: int, min_chars: int, digest: bool, names: list[str]):
                     mine = np.nonzero(shard == s)[0]
                     at = index[s].probe(h1[mine], h2[mine])
                     mine, at = mine[at >= 0], at[at >= 0]
-                    for k in mine[index[s].top[at] != ids[doc[mine]]].tolist():
+                    for k in mine[(index[s].docs[at] >= min_docs) & (index[s].top[at] != ids[doc[mine]])].tolist():
                         gone[doc[k]].add(line[k])
             kept = [t if not g else b"\n".join(x for j, x in enumerate(lines) if j not in g) for t, lines, g in zip(texts, split, gone, strict=True)]
             out = {c: batch.column(c) for c in names if c not in ("_id", "_text", "_lines", "_gone")} | {"_id": batch.column("_id")}
@@ -198,7 +198,7 @@ def _passes(docs: DataFrame, rest: list[str], digest: bool, min_chars: int, min_
         room -= size
     for i, group in enumerate(groups):
         shards = docs.sparkSession.sparkContext.broadcast([(r["shard"], bytes(r["blob"])) for r in index.where(F.col("shard").isin(group)).collect()])
-        now = now.mapInArrow(_probe(shards, n, min_chars, digest and i + 1 == len(groups), now.columns), now.schema)
+        now = now.mapInArrow(_probe(shards, n, min_chars, min_docs, digest and i + 1 == len(groups), now.columns), now.schema)
         if i + 1 < len(groups):
             now = materialize(now, "pass")
     return now
