@@ -19,9 +19,11 @@ class Hasher:
 
     def __init__(self):
         self._seen: dict[bytes, int] = {}
+        self.n_words = 0  # of the last text
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = _WORD.findall((text or b"").lower())
+        self.n_words = len(words)
         if not words:
             return np.empty(0, dtype=np.int64)
         if len(self._seen) > _CACHE_WORDS:
@@ -31,7 +33,9 @@ class Hasher:
             seen[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words))
         grams = [_mix(h), _mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]), _mix(h[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] + np.uint64(1))]
-        return np.unique(np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int64)
+        at = (np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.uint32)
+        at.sort()
+        return at[np.flatnonzero(np.diff(at, prepend=np.uint32(0xFFFFFFFF)))].astype(np.int64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize, read_table
-from .hashed_text import _WORD, BITS, Hasher, sigmoid
+from .hashed_text import BITS, Hasher, sigmoid
 from .toxicity import labelled_sample, train
 
 #: Domains (values of labels.quality) and the share of tokens that each shall have.
@@ -53,7 +53,7 @@ class Posteriors:
         n, p = np.zeros(len(texts), dtype=np.int64), np.zeros((len(texts), len(self.tables)))
         for i, text in enumerate(t.as_py() for t in texts):
             at = self.hasher(text)
-            n[i] = len(_WORD.findall((text or b"").lower()))
+            n[i] = self.hasher.n_words
             p[i] = [float(sigmoid(w[at].sum() + bias)) for w, bias in self.tables]
         return n, p / p.sum(axis=1, keepdims=True)
 
