@@ -2,8 +2,9 @@
 
 A word that the training sample knows scores by its log frequency in each language. An unseen word is marked as
 <word> and covered from the left by the longest known character n-grams (ORDERS from 5 down to 1); each gram scores by
-its log frequency in each language, times BACKOFF for every order that was given up. A text's language has the highest
-sum over its words; the score is its share after a softmax.
+its log frequency in each language, a character that no order knows by the floor of single characters. (A penalty for an
+order given up would be the same for all languages, so there is none.) A text's language has the highest sum over its
+words; the score is its share after a softmax.
 
 The sample is bounded: every language gives about PER_LANGUAGE documents, the smallest by a hash of their ids, and the
 model keeps the FEATURES most frequent grams. Whole texts are read, in training and prediction.
@@ -15,29 +16,32 @@ each; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
+import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, read_table
 
 FOLDS, FOLD = 4, 2
-PER_LANGUAGE, FEATURES = 1500, 400_000
+PER_LANGUAGE, FEATURES = 1500, 300_000
+SMOOTHING = 0.1
 ORDERS = (5, 4, 3, 2, 1)
-BACKOFF = 0.4
+#: Words that are scored at once.
+BLOCK = 100_000
 #: Words whose scores a worker remembers.
 _CACHE_WORDS = 200_000
 
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
 
 def _grams(marked: str, order: int):
@@ -50,8 +54,7 @@ def _count(batches):
         found: dict[str, list[Counter]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             counts = found.setdefault(lang, [Counter() for _ in range(len(ORDERS) + 1)])
-            for word, n in words_of(text).items():
-                counts[0][word] += n
+            counts[0].update(words_of(text))
         for counts in found.values():
             for word, n in counts[0].items():
                 for order in ORDERS:
@@ -63,40 +66,55 @@ def _count(batches):
 
 
 class BackoffModel:
-    """Log frequencies by language of words (order 0) and character n-grams."""
-
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]], floors: list[np.ndarray]):
-        self.langs, self.tables, self.floors = langs, tables, floors
-        self._seen: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
+    """Log frequencies by language of words (order 0) and character n-grams, from a table (k, gram, counts by language)."""
+
+    def __init__(self, langs: list[str], table: pa.Table):
+        self.langs, self.table = langs, table
+        order = table.column("k").to_numpy()
+        counts = pc.list_flatten(table.column("counts")).to_numpy().astype(np.float64).reshape(len(order), len(langs))
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}  # of all orders: a gram's length tells its order
+        for i, (k, gram) in enumerate(zip(order.tolist(), table.column("gram").to_pylist(), strict=True)):
+            (self.grams if k else self.words)[gram] = i
+        self.logs = np.empty((len(order) + 1, len(langs)))
+        for k in (0, *ORDERS):  # ends with the single characters, whose floor is the last row
+            of = np.flatnonzero(order == k)
+            whole = counts[of].sum(axis=0) + SMOOTHING * (len(of) + 1)
+            self.logs[of] = np.log((counts[of] + SMOOTHING) / whole)
+            self.logs[-1] = np.log(SMOOTHING / whole)
+        self._seen: dict[str, tuple[int, ...]] = {}
+
+    def rows(self, word: str) -> tuple[int, ...]:
+        """The rows of the table that a word scores by."""
         got = self._seen.get(word)
         if got is None:
             if len(self._seen) >= _CACHE_WORDS:
                 self._seen.clear()
-            got = self._seen[word] = self.tables[0][word] if word in self.tables[0] else self._back_off(f"<{word}>")
+            at = self.words.get(word)
+            got = self._seen[word] = self._back_off(f"<{word}>") if at is None else (at,)
         return got
 
-    def _back_off(self, marked: str) -> np.ndarray:
-        total, at = np.zeros(len(self.langs)), 0
+    def _back_off(self, marked: str) -> tuple[int, ...]:
+        out, at, grams = [], 0, self.grams
         while at < len(marked):
-            for given_up, order in enumerate(ORDERS):
-                found = self.tables[order].get(marked[at : at + order]) if at + order <= len(marked) else None
-                if found is not None:
-                    total += found + given_up * math.log(BACKOFF)
-                    at += order
+            for order in ORDERS:
+                gram = marked[at : at + order]
+                if gram in grams:
+                    out.append(grams[gram])
+                    at += len(gram)
                     break
             else:
-                total += self.floors[1]
+                out.append(len(self.logs) - 1)
                 at += 1
-        return total
+        return tuple(out)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or text is None or not (words := words_of(text)):
+        words = words_of(text)
+        if not self.langs or not any(any(map(str.isalpha, w)) for w in words):
             return "und", 0.0
         total = np.zeros(len(self.langs))
-        for word, n in words.items():
-            total += n * self.word(word)
+        for i in range(0, len(words), BLOCK):
+            total += self.logs[list(chain.from_iterable(map(self.rows, words[i : i + BLOCK])))].sum(axis=0)
         share = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.langs[best], float(share[best] / share.sum())
@@ -113,26 +131,16 @@ def train(docs: DataFrame, skip=None, per_language: int = PER_LANGUAGE, features
         share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
     chosen = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)
     counts = rows.where(chosen).select("lang", "text").mapInArrow(_count, "lang string, k int, gram string, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    grams = counts.groupBy("k", "gram").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(F.desc("n"), "k", "gram").limit(features)
     langs = sorted(sizes)
-    number = {lang: i for i, lang in enumerate(langs)}
-    raw: list[dict[str, np.ndarray]] = [{} for _ in range(len(ORDERS) + 1)]
-    totals = np.zeros((len(raw), len(langs)))
-    for r in grams.collect():
-        row = np.zeros(len(langs))
-        for lang, n in r["by"]:
-            row[number[lang]] = n
-        raw[r["k"]][r["gram"]] = row
-        totals[r["k"]] += row
-    smooth = 0.1
-    tables = [{g: np.log((c + smooth) / (t + smooth * (len(table) + 1))) for g, c in table.items()} for table, t in zip(raw, totals, strict=True)]
-    floors = [np.log(smooth / (t + smooth * (len(table) + 1))) for table, t in zip(raw, totals, strict=True)]
-    return BackoffModel(langs, tables, floors)
+    by = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).cast("long") for lang in langs]
+    grams = counts.groupBy("k", "gram").agg(F.sum("n").alias("n"), (F.array(*by) if by else F.array().cast("array<long>")).alias("counts"))
+    return BackoffModel(langs, grams.orderBy(F.desc("n"), "k", "gram").limit(features).select("k", "gram", "counts").toArrow())
 
 
 def _predict(model):
     def run(batches):
-        m = BackoffModel(*model.value)
+        langs, data = model.value
+        m = BackoffModel(langs, pa.ipc.open_stream(data).read_all())
         for batch in batches:
             found = [m.predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([x for _, x in found], pa.float64())})
@@ -142,7 +150,10 @@ def _predict(model):
 
 def identify_language(docs: DataFrame, model: BackoffModel) -> DataFrame:
     """doc_id, lang_pred and score for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables, model.floors))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, model.table.schema) as out:
+        out.write_table(model.table)
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, sink.getvalue().to_pybytes()))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
 
 

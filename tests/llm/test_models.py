@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,10 +94,13 @@ def test_language(spark):
 
 
 def test_language_backs_off():
-    m = language_id.BackoffModel(["x", "y"], [{"ab": np.array([0.0, -9.0])}, *[{} for _ in range(0)], {"q": np.array([-1.0, -2.0])}, {}, {"<qq": np.array([-3.0, -1.0])}, {}, {}], [np.array([-9.0, -9.0])] * 6)
+    rows = [(0, "ab", [9, 0]), (1, "q", [2, 1]), (3, "<qq", [1, 5]), (3, "zzz", [4, 0])]
+    m = language_id.BackoffModel(["x", "y"], pa.table({"k": [r[0] for r in rows], "gram": [r[1] for r in rows], "counts": [r[2] for r in rows]}))
     assert m.predict("ab")[0] == "x"
-    # <qq is a known trigram two orders down, > is unknown at every order
-    assert np.allclose(m.word("qq"), np.array([-3.0, -1.0]) + 2 * np.log(language_id.BACKOFF) + np.array([-9.0, -9.0]))
+    log = lambda c, total, grams: np.log((np.array(c) + 0.1) / (np.array(total) + 0.1 * (grams + 1)))
+    # <qq is known two orders down, > at no order
+    assert np.allclose(m.logs[list(m.rows("qq"))].sum(axis=0), log([1, 5], [5, 5], 2) + log([0, 0], [2, 1], 1))
+    assert np.allclose(m.logs[list(m.rows("ab"))].sum(axis=0), log([9, 0], [9, 0], 1))
 
 
 def test_language_held_out_accuracy(spark):
