@@ -12,9 +12,9 @@ Equal fingerprints meet in one row before any of this, so thousands of copies ar
 
 Similarity search. At a similarity of 0.8 over 5-word shingles the fingerprints differ in about ten bits, where no
 triangle bound prunes anything in 64 dimensions. `near_duplicates` therefore takes its shards from the documents'
-smallest shingle hashes under SKETCHES orders (a pair at 0.8 shares none with a chance of 0.2 ** SKETCHES), links the
-fingerprints within the radius in each shard by a minimum spanning forest, and keeps the edges whose shingle sets have
-the similarity.
+smallest shingle hashes under SKETCHES orders (a pair at 0.8 shares none with a chance of 0.2 ** SKETCHES). In a shard
+every pair is judged: parity bits of the sets rule out pairs that cannot have the similarity, the rest are compared as
+exact shingle sets, and only pairs found similar unite points.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows share a fingerprint
 and a component; a null doc_id takes the smallest other id of its component, null if there is none; other columns
@@ -42,6 +42,8 @@ SAMPLE = 20_000
 LEAF_ROWS, SHARD_ROWS = 1024, 2048
 #: Rows of shards that one partition takes.
 TASK_ROWS = 200_000
+#: Shingle hashes in one tile of the similarity search, and the most parity bits of a set.
+SHARD_HASHES, PARITY_BITS = 1 << 21, 1 << 15
 #: Min-wise orders of the similarity search.
 SKETCHES = 4
 #: Fixed odd multipliers of the min-wise orders.
@@ -171,7 +173,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forests(radius: int, nearest: bool):
+def _forests(radius: int):
     """Edges of the forests of all tasks of a partition that is sorted by task; holds one task at a time."""
 
     def run(batches):
@@ -180,21 +182,21 @@ def _forests(radius: int, nearest: bool):
             tasks = np.concatenate([tasks, batch.column("task").to_numpy(zero_copy_only=False)])
             points = np.concatenate([points, batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)])
             done = np.searchsorted(tasks, tasks[-1]) if len(tasks) else 0
-            yield _edges(tasks[:done], points[:done], radius, nearest)
+            yield _edges(tasks[:done], points[:done], radius)
             tasks, points = tasks[done:], points[done:]
-        yield _edges(tasks, points, radius, nearest)
+        yield _edges(tasks, points, radius)
 
     return run
 
 
-def _edges(tasks: np.ndarray, points: np.ndarray, radius: int, nearest: bool) -> pa.RecordBatch:
+def _edges(tasks: np.ndarray, points: np.ndarray, radius: int) -> pa.RecordBatch:
     edges = []
     for own in np.split(points, np.nonzero(np.diff(tasks))[0] + 1):
-        edges += link_forest(np.unique(own), radius, nearest)
+        edges += link_forest(np.unique(own), radius)
     return pa.RecordBatch.from_pydict({"a": pa.array([_signed(a) for a, _ in edges], pa.int64()), "b": pa.array([_signed(b) for _, b in edges], pa.int64())})
 
 
-def shard_edges(shards: DataFrame, radius: int, nearest: bool = False) -> DataFrame:
+def shard_edges(shards: DataFrame, radius: int) -> DataFrame:
     """Spanning edges within each shard of the distinct rows (shard, fp). Shards above SHARD_ROWS go in pairs of tiles."""
     shards = materialize(shards.distinct(), "shards")
     sizes = materialize(shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
@@ -204,7 +206,7 @@ def shard_edges(shards: DataFrame, radius: int, nearest: bool = False) -> DataFr
     rows = rows.select("shard", "fp", "t", other.alias("o")).select("fp", F.xxhash64("shard", F.least("t", "o"), F.greatest("t", "o")).alias("task"))
     # a count of partitions of its own: the rows are few bytes and much work, and would be merged into few tasks
     parts = max(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards.count() // TASK_ROWS))
-    return rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_forests(radius, nearest), "a long, b long")
+    return rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_forests(radius), "a long, b long")
 
 
 def vantage_shards(prints: DataFrame, radius: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -246,42 +248,187 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """The sorted distinct shingle hashes."""
+    blocks = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, dtype=np.uint64)
+
+
+def parity_bits(own: np.ndarray) -> np.ndarray:
+    """Bit k is set if an odd number of hashes have k as their low bits; two sets differ in at least as many hashes as bits."""
+    size = min(PARITY_BITS, max(64, 1 << (2 * len(own)).bit_length()))
+    odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _outlines(words: int, sketches: int):
+    def run(batches):
+        for batch in batches:
+            keys, sizes, bits, mins = [], [], [], []
+            for text in batch.column("text"):
+                own = shingle_set(text.as_py(), words)
+                keys.append(f"{fingerprint(shingle_hashes(text.as_py(), words)):016x}")
+                sizes.append(len(own)), bits.append(parity_bits(own).tobytes())
+                mins.append([int((own * m).min().view(np.int64)) for m in _ORDERS[:sketches]] if len(own) else [0] * sketches)
+            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.string()), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary()), "mins": pa.array(mins, pa.list_(pa.int64()))})
+
+    return run
+
+
+def outlines(docs: DataFrame, row: str, words: int, sketches: int) -> DataFrame:
+    """(row, doc_id, key, n, bits, mins): the identity, size and parity bits of every row's shingle set and its smallest hashes."""
+    given = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return given.mapInArrow(_outlines(words, sketches), f"row {dict(given.dtypes)['row']}, doc_id long, key string, n long, bits binary, mins array<long>")
+
+
+def maybe_similar(n: np.ndarray, bits: list[np.ndarray], similarity: float):
+    """Blocks (at, others, matrix) that mark every pair which sizes and parity bits do not rule out; i meets i as well.
+
+    Sets of the similarity differ in at most (n1 + n2) * (1 - s) / (1 + s) hashes, so no such pair is left out.
+    """
+    widths = np.array([len(b) for b in bits])
+    for w in np.unique(widths):
+        own = np.flatnonzero(widths == w)
+        mine = np.stack([bits[i] for i in own])
+        for v in np.unique(widths[widths >= w]):
+            at = np.flatnonzero(widths == v)
+            if similarity * n[at].min() > n[own].max():
+                continue
+            others = np.stack([bits[i] for i in at])
+            while others.shape[1] > w:  # more low bits fold onto fewer
+                others = others[:, : others.shape[1] // 2] ^ others[:, others.shape[1] // 2 :]
+            step = max(1, (1 << 20) // (len(at) * int(w)))
+            for i in range(0, len(own), step):
+                k = own[i : i + step]
+                differ = np.bitwise_count(mine[i : i + step, None] ^ others[None]).sum(axis=2, dtype=np.int32)
+                small, large = np.minimum(n[k][:, None], n[at][None]), np.maximum(n[k][:, None], n[at][None])
+                yield k, at, (differ <= (small + large) * ((1 - similarity) / (1 + similarity)) + 1e-6) & (small >= similarity * large - 1e-6)
+
+
+def with_partners(n: np.ndarray, bits: list[np.ndarray], label: np.ndarray, similarity: float) -> np.ndarray:
+    """The places of the points that may be similar to one of another label."""
+    some = np.zeros(len(n), dtype=bool)
+    for k, at, near in maybe_similar(n, bits, similarity):
+        near &= label[k][:, None] != label[at][None]
+        some[k] |= near.any(axis=1)
+        some[at] |= near.any(axis=0)
+    return np.flatnonzero(some)
+
+
+def similar_forest(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges that unite the labels as all pairs of sets at the similarity do; only a pair of one label is left uncompared."""
+    n, label, edges = np.array([len(s) for s in sets]), label.copy(), []
+    if not len(n):
+        return edges
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    place = np.split(place, np.cumsum(n)[:-1])
+    held = np.zeros(len(values), dtype=bool)
+    for k, at, near in maybe_similar(n, [parity_bits(s) for s in sets], similarity):
+        for i, others in zip(k, near, strict=True):
+            others = at[others]
+            others = others[label[others] != label[i]]
+            if not len(others):
+                continue
+            held[place[i]] = True
+            for j in others:
+                if label[i] != label[j]:
+                    common = np.count_nonzero(held[place[j]])
+                    if common >= similarity * (n[i] + n[j] - common):
+                        edges.append((int(i), int(j)))
+                        label[label == label[j]] = label[i]
+            held[place[i]] = False
+    return edges
+
+
+def _by_task(columns: list[str], each):
+    """each(task, frame) for all tasks of a partition that is sorted by task; holds one task at a time."""
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            kept = table if kept is None else pa.concat_tables([kept, table])
+            tasks = kept.column("task").to_numpy()
+            if len(tasks) and tasks[0] != tasks[-1]:
+                starts = [0, *(np.flatnonzero(np.diff(tasks)) + 1).tolist()]
+                for i, j in zip(starts, starts[1:], strict=False):
+                    yield each(int(tasks[i]), kept.slice(i, j - i).select(columns).combine_chunks())
+                kept = kept.slice(starts[-1])
+        if kept is not None and len(kept):
+            yield each(kept.column("task")[0].as_py(), kept.select(columns).combine_chunks())
+
+    return run
+
+
+def _arrays(column, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype="<u8") if kind == "bits" else x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in column]
+
+
+def _partners(similarity: float):
+    def each(task: int, rows: pa.Table) -> pa.RecordBatch:
+        pid = rows.column("pid").to_numpy()
+        at = with_partners(rows.column("n").to_numpy(), _arrays(rows.column("bits"), "bits"), rows.column("root").to_numpy(), similarity)
+        return pa.RecordBatch.from_pydict({"task": pa.array(np.full(len(at), task), pa.int64()), "pid": pa.array(pid[at], pa.int64()), "root": pa.array(rows.column("root").to_numpy()[at], pa.int64())})
+
+    return _by_task(["pid", "n", "bits", "root"], each)
+
+
+def _similar(similarity: float):
+    def each(task: int, rows: pa.Table) -> pa.RecordBatch:
+        pid = rows.column("pid").to_numpy()
+        edges = similar_forest(_arrays(rows.column("s"), "s"), rows.column("root").to_numpy(), similarity)
+        return pa.RecordBatch.from_pydict({"a": pa.array([int(pid[i]) for i, _ in edges], pa.int64()), "b": pa.array([int(pid[j]) for _, j in edges], pa.int64())})
+
+    return _by_task(["pid", "root", "s"], each)
+
+
 def _shingle_sets(words: int):
     def run(batches):
         for batch in batches:
-            for fp, text in zip(batch.column("fp"), batch.column("text"), strict=True):
-                blocks = list(shingle_hashes(text.as_py(), words))
-                own = np.unique(np.concatenate(blocks)).view(np.int64) if blocks else np.empty(0, dtype=np.int64)
-                yield pa.RecordBatch.from_pydict({"fp": pa.array([fp.as_py()], pa.int64()), "s": pa.array([own], pa.list_(pa.int64()))})
+            for pid, text in zip(batch.column("pid"), batch.column("text"), strict=True):
+                yield pa.RecordBatch.from_pydict({"pid": pa.array([pid.as_py()], pa.int64()), "s": pa.array([shingle_set(text.as_py(), words).view(np.int64)], pa.list_(pa.int64()))})
 
     return run
 
 
-def similar_edges(docs: DataFrame, row: str, prints: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose shingle sets have at least the Jaccard similarity; a fingerprint's first row stands for it."""
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    linked = materialize(edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct(), "linked")
-    first = materialize(prints.select("fp", "row").join(small_side(linked, 16), "fp").groupBy("fp").agg(F.min("row").alias(row)), "first")
+def similar_edges(docs: DataFrame, row: str, points: DataFrame, shards: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that unite the roots of the points (pid, root, row, n, bits) as all similar pairs of a shard (shard, pid) do.
+
+    Shards above SHARD_ROWS points or SHARD_HASHES hashes go in pairs of tiles. Every pair of different roots is judged:
+    first by its parity bits, which rule out no similar pair, then, with the points that may have a partner, by its sets.
+    """
+    shards = materialize(shards.distinct().join(points.select("pid", "n"), "pid"), "shards")
+    weight = F.greatest(F.count(F.lit(1)) / F.lit(float(SHARD_ROWS)), F.sum("n") / F.lit(float(SHARD_HASHES)))
+    tiles = materialize(shards.groupBy("shard").agg(F.count(F.lit(1)).alias("c"), F.ceil(weight).cast("long").alias("tiles")).where("c > 1").select("shard", "tiles"), "tiles")
+    rows = shards.join(tiles, "shard").select("pid", "shard", F.greatest("tiles", F.lit(1)).alias("tiles")).withColumn("t", F.pmod(F.xxhash64(F.lit("tile"), "pid"), F.col("tiles")))
+    other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    rows = rows.select("pid", "shard", "t", other.alias("o")).select("pid", F.xxhash64("shard", F.least("t", "o"), F.greatest("t", "o")).alias("task"))
+    # a count of partitions of its own: the rows are few bytes and much work, and would be merged into few tasks
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards.count() // TASK_ROWS))
+    rows = rows.join(points.select("pid", "root", "n", "bits"), "pid").select("task", "pid", "root", "n", "bits")
+    some = materialize(rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_partners(similarity), "task long, pid long, root long"), "candidates")
+    first = materialize(points.select("pid", F.col("row").alias(row)).join(some.select("pid").distinct(), "pid", "left_semi"), "first")
     texts = docs.select(F.col(row), F.col("text").cast("binary").alias("text")).join(small_side(first, 40), row)
-    sets = materialize(texts.select("fp", "text").mapInArrow(_shingle_sets(words), "fp long, s array<long>"), "sets")
-    one, two = sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), sets.select(F.col("fp").alias("b"), F.col("s").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return materialize(edges.join(one, "a").join(two, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar")
+    sets = materialize(texts.select("pid", "text").mapInArrow(_shingle_sets(words), "pid long, s array<long>"), "sets")
+    given = some.join(sets, "pid").select("task", "pid", "root", "s").repartition(parts, "task").sortWithinPartitions("task")
+    return materialize(given.mapInArrow(_similar(similarity), "a long, b long"), "similar")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 24, sketches: int = SKETCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, sketches: int = SKETCHES) -> DataFrame:
     """docs with one row of each near-duplicate group: that with the smallest doc_id, of equal ids the first row written.
 
-    Candidates are the nearest links within the radius in each shard; those below the similarity are cut. Texts without
-    words are one group.
+    Every pair that shares a shard is judged by its exact sets, unless other pairs have united it. Texts without words
+    are one group.
     """
     rows, row = numbered(docs)
-    prints = materialize(fingerprints(rows, words, sketches, row), "fingerprints")
-    shards = prints.select("fp", F.posexplode("mins").alias("k", "m")).select(F.xxhash64("k", "m").alias("shard"), "fp")
-    edges = similar_edges(rows, row, prints, shard_edges(shards, radius, nearest=True), words, similarity)
-    found = components_of(distinct_prints(prints.select("doc_id", "fp")), edges)
+    prints = materialize(outlines(rows, row, words, sketches), "outlines")
+    first = prints.groupBy("key").agg(F.min("doc_id").alias("low"), F.min(F.struct("row", "n", "bits", "mins")).alias("f"))
+    points = materialize(first.select(F.monotonically_increasing_id().alias("pid"), "key", "low", "f.*"), "points")
+    shards = points.select("pid", F.posexplode("mins").alias("k", "m")).select(F.xxhash64("k", "m").alias("shard"), "pid")
+    edges = similar_edges(rows, row, points.withColumn("root", F.col("pid")), shards, words, similarity)
+    found = components_of(points.select(F.col("pid").alias("fp"), "low"), edges).withColumnRenamed("fp", "pid")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("row").alias("r")))
-    stay = prints.select("row", "doc_id", "fp").join(found, "fp").groupBy("root").agg(best.alias("k"))
+    stay = prints.select("row", "doc_id", "key").join(points.select("key", "pid"), "key").join(found, "pid").groupBy("root").agg(best.alias("k"))
     gone = prints.select("row").join(materialize(stay.select(F.col("k.r").alias("row")), "stay"), "row", "left_anti")
     return rows.join(small_side(materialize(gone.select(F.col("row").alias(row)), "gone"), 32), row, "left_anti").drop(row)
 

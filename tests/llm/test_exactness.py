@@ -185,6 +185,42 @@ def test_near_duplicates(spark, docs, none):
     assert simhash.near_duplicates(docs).columns == docs.columns
 
 
+def kept_by_pairs(rows, k=5, similarity=0.8):
+    sets = [set(brute.shingles(t, k)) for _, t in rows]
+    roots = brute.components(len(rows), lambda i, j: len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]))
+    low = {}
+    for r, (i, _) in zip(roots, rows, strict=True):
+        low[r] = min(low.get(r, i), i)
+    return sorted(low.values())
+
+
+def test_near_duplicates_of_edited_copies(spark):
+    """Groups whose pairs lie around the similarity, where a nearest link that is cut must not hide a similar pair."""
+    rng, rows = np.random.default_rng(11), []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for k in range(40):
+            words = list(base)
+            for at in rng.choice(200, rng.integers(2, 5), replace=False):
+                words[at] = f"e{g}x{k}y{at}"
+            rows.append((1000 * g + k, " ".join(words)))
+    got = sorted(r["doc_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == kept_by_pairs(rows)
+
+
+def test_parity_bits_rule_out_no_similar_pair():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 9, 30, 63, 64, 65, 500)]
+    sets += [np.unique(np.concatenate([s[len(s) // 9 :], rng.integers(0, 1 << 63, len(s) // 12, dtype=np.uint64)])) for s in sets]
+    near = np.zeros((len(sets), len(sets)), dtype=bool)
+    for k, at, block in simhash.maybe_similar(np.array([len(s) for s in sets]), [simhash.parity_bits(s) for s in sets], 0.8):
+        near[np.ix_(k, at)] |= block
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            common = len(np.intersect1d(a, b))
+            assert near[i, j] or near[j, i] or common < 0.8 * (len(a) + len(b) - common)
+
+
 # op3
 
 
