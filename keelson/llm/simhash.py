@@ -14,7 +14,8 @@ Similarity search. At a similarity of 0.8 over 5-word shingles the fingerprints
 triangle bound prunes anything in 64 dimensions. `near_duplicates` therefore takes its shards from the documents'
 smallest shingle hashes under SKETCHES orders (a pair at 0.8 shares none with a chance of 0.2 ** SKETCHES). In a shard
 every pair is judged: parity bits of the sets rule out pairs that cannot have the similarity, the rest are compared as
-exact shingle sets, and only pairs found similar unite points.
+exact shingle sets, and only pairs found similar unite points. Rows of equal shingle sets, told by a 128-bit hash of the
+sorted set, are one point; the fingerprint plays no part.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows share a fingerprint
 and a component; a null doc_id takes the smallest other id of its component, null if there is none; other columns
@@ -76,25 +77,19 @@ def fingerprint(blocks) -> int:
     return int(np.packbits((2 * ones > total).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(words: int, sketches: int):
+def _fingerprints(words: int):
     def run(batches):
         for batch in batches:
-            prints, mins = [], []
-            for text in batch.column("text"):
-                blocks = list(shingle_hashes(text.as_py(), words)) if sketches else shingle_hashes(text.as_py(), words)
-                prints.append(fingerprint(blocks))
-                if sketches:
-                    mins.append([int(min((b * m).min() for b in blocks).view(np.int64)) for m in _ORDERS[:sketches]] if blocks else [0] * sketches)
-            out = {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "fp": pa.array(np.array(prints, dtype=np.uint64).view(np.int64))}
-            yield pa.RecordBatch.from_pydict(out | ({"mins": pa.array(mins, pa.list_(pa.int64()))} if sketches else {}))
+            prints = [fingerprint(shingle_hashes(text.as_py(), words)) for text in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(prints, dtype=np.uint64).view(np.int64))})
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = 3, sketches: int = 0, row: str | None = None) -> DataFrame:
-    """(row, doc_id, fp[, mins]) for every row of docs, over whole texts."""
-    given = docs.select((F.col(row) if row else F.lit(0)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return given.mapInArrow(_fingerprints(words, sketches), f"row {dict(given.dtypes)['row']}, doc_id long, fp long" + ", mins array<long>" * bool(sketches))
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, fp) for every row of docs, over whole texts."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return given.mapInArrow(_fingerprints(words), "doc_id long, fp long")
 
 
 class VantageTree:
@@ -242,7 +237,7 @@ def components_of(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row of docs."""
-    prints = materialize(fingerprints(docs, words).select("doc_id", "fp"), "fingerprints")
+    prints = materialize(fingerprints(docs, words), "fingerprints")
     points = distinct_prints(prints)
     found = components_of(points, shard_edges(vantage_shards(points, radius), radius))
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -267,7 +262,7 @@ def _outlines(words: int, sketches: int):
             keys, sizes, bits, mins = [], [], [], []
             for text in batch.column("text"):
                 own = shingle_set(text.as_py(), words)
-                keys.append(f"{fingerprint(shingle_hashes(text.as_py(), words)):016x}")
+                keys.append(xxhash.xxh3_128_hexdigest(own.tobytes()))
                 sizes.append(len(own)), bits.append(parity_bits(own).tobytes())
                 mins.append([int((own * m).min().view(np.int64)) for m in _ORDERS[:sketches]] if len(own) else [0] * sketches)
             yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.string()), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary()), "mins": pa.array(mins, pa.list_(pa.int64()))})

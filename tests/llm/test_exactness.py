@@ -208,6 +208,14 @@ def test_near_duplicates_of_edited_copies(spark):
     assert got == kept_by_pairs(rows)
 
 
+def test_same_fingerprint_is_not_the_same_text(spark):
+    """One shingle makes up over half of all, so both texts get its hash as fingerprint."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["x"] * 304 + [f"d{i}n{k}" for k in rng.integers(0, 10**6, 100)])) for i in (1, 2)]
+    one, two = (simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows)
+    assert one == two and sorted(r["doc_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()) == [1, 2]
+
+
 def test_parity_bits_rule_out_no_similar_pair():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 9, 30, 63, 64, 65, 500)]
