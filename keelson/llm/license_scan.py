@@ -1,4 +1,4 @@
-"""License scans as an exact set-similarity join of text blocks (lines) with license templates.
+"""License scans as an exact set-similarity join of text blocks (lines, and windows over lines) with license templates.
 
 Template tokens are ranked by their counts over all documents, rarest first; blocks and templates are sorted sets of
 ranks. A block matches where it holds at least alpha = ceil(threshold * |T|) of a template's |T| tokens, so it must
@@ -6,6 +6,10 @@ hold one of the template's |T| - alpha + 1 rarest (prefix filter, an inverted li
 known tokens (length filter), and from its first shared rank on leave enough of both sets (positional filter); the
 survivors are intersected exactly. Lines without any prefix token are left out by one regular expression.
 
+A notice wrapped over lines is found by windows of as many words as its template has, one from every template word on;
+only documents that hold alpha of the template's tokens have them. A window counts where it runs over a line end and no
+line in it meets the label as well. OP4_SQL takes lines alone and so knows no wrapped notice.
+
 The templates are configuration of a bounded size (INDEX_BYTES), so the join is a lookup within the row: documents are
 read twice (token counts, then matching) and never shuffled, whatever repeats.
 
@@ -47,10 +51,14 @@ TEMPLATES = (
 )
 
 
+def template_words(text: str) -> list[str]:
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
 def template_tokens(text: str) -> list[str]:
     """The distinct words of a template, in order of first use."""
-    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text)
-    return list(dict.fromkeys(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)))
+    return list(dict.fromkeys(template_words(text)))
 
 
 def _places(words: Column, joined: Column, phrase: str) -> Column:
@@ -79,11 +87,12 @@ class TemplateIndex:
         sets = [(label, template_tokens(text)) for label, text in templates]
         order = sorted({t for _, tokens in sets for t in tokens}, key=lambda t: (counts.get(t, 0), t))
         self.rank = {t: i for i, t in enumerate(order)}
-        self.rows, self.postings = [], [[] for _ in order]
+        self.rows, self.windows, self.postings = [], [], [[] for _ in order]
         for k, (label, tokens) in enumerate(sets):
             ranks = sorted(self.rank[t] for t in tokens)
             alpha = max(1, math.ceil(threshold * len(ranks) - 1e-9))
             self.rows.append({"label": label, "alpha": alpha, "ranks": ranks})
+            self.windows.append((label, tokens, alpha, len(template_words(templates[k][1]))))
             for r in ranks[: len(ranks) - alpha + 1]:
                 self.postings[r].append(k)
         self.prefix = [t for t in order if self.postings[self.rank[t]]]
@@ -115,16 +124,44 @@ class TemplateIndex:
         common = F.transform(placed, lambda t: F.struct(t["label"].alias("label"), t["alpha"].alias("alpha"), F.size(F.array_intersect(ranks, t["ranks"])).alias("n"), F.size(t["ranks"]).alias("of")))
         return F.transform(F.filter(common, lambda t: t["n"] >= t["alpha"]), lambda t: F.struct(t["label"].alias("label"), (t["n"] / t["of"]).alias("containment")))
 
+    def wrapped(self, lower: Column) -> Column:
+        """(line, last, label, containment) of every window over line ends that meets its template."""
+        kind = "array<struct<line:int,last:int,label:string,containment:double>>"
+        known = F.array_intersect(F.array(*map(F.lit, self.rank)), F.split(lower, NON_WORD))
+        word = lambda x, i: F.transform(F.array_remove(F.split(x, NON_WORD), ""), lambda w: F.struct(i.alias("line"), w.alias("w")))
+        placed = F.transform(F.flatten(F.transform(F.split(lower, "\n"), word)), lambda x, i: F.struct(i.alias("i"), x["line"].alias("line"), x["w"].alias("w")))
+
+        def of(label: str, tokens: list[str], alpha: int, words: int) -> Column:
+            own = F.array(*map(F.lit, tokens))
+            hits = F.filter(placed, lambda x: x["w"].isin(tokens))
+
+            def windows(hits: Column) -> Column:
+                near = F.transform(hits, lambda h, j: F.filter(F.slice(hits, j + 1, words), lambda g: g["i"] < h["i"] + words))
+                count = F.transform(near, lambda g: F.struct(F.get(g, F.lit(0))["line"].alias("line"), F.element_at(g, -1)["line"].alias("last"), F.lit(label).alias("label"), F.size(F.array_distinct(F.transform(g, lambda x: x["w"]))).alias("n")))
+                return F.transform(F.filter(count, lambda c: (c["n"] >= alpha) & (c["last"] > c["line"])), lambda c: F.struct(c["line"].alias("line"), c["last"].alias("last"), c["label"].alias("label"), (c["n"] / F.lit(len(tokens))).alias("containment")))
+
+            # within a transform the hits are worked out once
+            found = F.array_distinct(F.flatten(F.transform(F.array(hits), windows)))
+            return lambda held: F.when(F.size(F.array_intersect(own, held)) >= alpha, found).otherwise(F.array().cast(kind))
+
+        each = [of(*t) for t in self.windows]
+        return F.flatten(F.flatten(F.transform(F.array(known), lambda held: F.array(*[e(held) for e in each])))) if each else F.array().cast(kind)
+
     def blocks(self, lower: Column) -> Column:
-        """(line, label, containment) for all lines of a lower-cased text."""
+        """(line, last, label, containment) for all lines of a lower-cased text, and its windows over lines."""
         edge = NON_WORD[:-1]
         pattern = f"(^|{edge})({'|'.join(map(re.escape, self.prefix))})($|{edge})"
         lines = F.transform(F.split(lower, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
         some = F.filter(lines, lambda x: F.rlike(x["text"], F.lit(pattern)))
         ranked = F.transform(some, lambda x: F.struct(x["line"].alias("line"), self.ranks(F.split(x["text"], NON_WORD)).alias("ranks")))
-        found = F.transform(ranked, lambda x: F.transform(self.matches(x["ranks"]), lambda m: F.struct(x["line"].alias("line"), m["label"].alias("label"), m["containment"].alias("containment"))))
-        none = F.array().cast("array<struct<line:int,label:string,containment:double>>")
-        return F.when(F.rlike(lower, F.lit(pattern)), F.flatten(found)).otherwise(none)
+        found = F.transform(ranked, lambda x: F.transform(self.matches(x["ranks"]), lambda m: F.struct(x["line"].alias("line"), x["line"].alias("last"), m["label"].alias("label"), m["containment"].alias("containment"))))
+        none = F.array().cast("array<struct<line:int,last:int,label:string,containment:double>>")
+
+        def both(own: Column) -> Column:
+            inside = lambda w: F.exists(own, lambda b: (b["label"] == w["label"]) & b["line"].between(w["line"], w["last"]) & (b["containment"] >= w["containment"]))
+            return F.concat(own, F.filter(self.wrapped(lower), lambda w: ~inside(w)))
+
+        return F.when(F.rlike(lower, F.lit(pattern)), F.flatten(F.transform(F.array(F.flatten(found)), both))).otherwise(none)
 
 
 def _index(docs: DataFrame, templates, threshold: float) -> TemplateIndex:
@@ -132,10 +169,14 @@ def _index(docs: DataFrame, templates, threshold: float) -> TemplateIndex:
 
 
 def license_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, line (from 0), label, containment and the line's text for every block that meets a template."""
+    """doc_id, first line (from 0), label, containment and the lines' text for every block that meets a template.
+
+    Windows of one wrapped notice that differ in their lines or containment are blocks of their own.
+    """
     index, text = _index(docs, templates, threshold), F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", text.alias("text"), F.explode(index.blocks(ascii_lower(text))).alias("m"))
-    return found.select("doc_id", "m.line", "m.label", "m.containment", F.get(F.split("text", "\n"), F.col("m.line")).alias("block"))
+    given = docs.select("doc_id", text.alias("text"), ascii_lower(text).alias("lower"))
+    found = given.select("doc_id", "text", F.explode(index.blocks(F.col("lower"))).alias("m"))
+    return found.select("doc_id", "m.line", "m.label", "m.containment", F.array_join(F.slice(F.split("text", "\n"), F.col("m.line") + 1, F.col("m.last") - F.col("m.line") + 1), "\n").alias("block"))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES) -> DataFrame:

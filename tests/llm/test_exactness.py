@@ -299,6 +299,17 @@ def test_overlapping_phrases(spark):
     assert (r["n_base"], r["first_word"], r["last_word"]) == (2, 0, 2)
 
 
+def test_wrapped_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided"
+    lgpl = " * This library is free software; you can redistribute it\r\n * under the terms of the GNU Lesser General\r\n * Public License"
+    far = "redistribution and use in source\n" + "other words " * 20 + "\nand binary forms, with or without modification"
+    df = spark.createDataFrame([(1, f"intro\n{bsd}\nend"), (2, lgpl), (3, far), (4, None)], DOCS)
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(df).collect()}
+    # the GPL template is met as well, as it is where the notice stands on one line
+    assert got == {1: ("bsd", 1.0), 2: ("gpl,lgpl", 1.0), 3: ("", 0.0), 4: ("", 0.0)}
+    assert bsd in {r["block"] for r in license_scan.license_blocks(df).collect() if r["doc_id"] == 1 and r["line"] == 1}
+
+
 # op5
 
 
