@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +97,36 @@ def small_side(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFr
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def measured_side(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """Marks a materialized df for broadcast if its rows' summed bytes fit BROADCAST_BYTES; else leaves the join to shuffle."""
+    total = df.agg(F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def beside(rows: DataFrame, blobs: DataFrame, parts: int, load, each, schema) -> DataFrame:
+    """each(load(blob), batch) for the rows (key, salts, r) of every key, beside the blob of their key (key, salts, blob).
+
+    A key's rows are dealt over its salts, each of which gets a copy of the blob ahead of its rows, so neither a hot key
+    nor the number of blobs is held by one task: a task holds one blob and one batch of rows (the struct r).
+    """
+    kind = dict(rows.dtypes)["r"]
+    given = rows.select("key", F.pmod(F.xxhash64("r"), F.col("salts")).alias("salt"), F.lit(1).alias("o"), "r", F.lit(None).cast("binary").alias("blob"))
+    ahead = blobs.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("o"), F.lit(None).cast(kind).alias("r"), "blob")
+
+    def run(batches):
+        now = None
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("o").to_numpy(zero_copy_only=False) == 0).tolist()
+            if (not starts or starts[0]) and batch.num_rows:
+                yield from each(now, pa.RecordBatch.from_struct_array(batch.column("r").slice(0, starts[0] if starts else None)))
+            for i, j in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                now = load(batch.column("blob")[i].as_py())
+                if j > i + 1:
+                    yield from each(now, pa.RecordBatch.from_struct_array(batch.column("r").slice(i + 1, j - i - 1)))
+
+    return given.unionByName(ahead).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "o").mapInArrow(run, schema)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z alone. Pure ASCII texts take the fast lower()."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, _UPPER, _LOWER))

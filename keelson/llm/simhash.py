@@ -4,18 +4,15 @@ Linking. Two fingerprints at R or fewer differing bits agree to within R // 2 bi
 Each half has a vantage-point tree, built on the driver from a bounded sample of fingerprints: a node holds a vantage
 fingerprint v and a radius mu, d(x, v) <= mu goes inside, and by the triangle inequality every partner of an outside
 point within r = R // 2 has d(x, v) > mu - r, so points in that overlap go to both sides. Every close pair thus meets
-in a leaf of one of the trees. A leaf is a shard; a shard above SHARD_ROWS distinct fingerprints is cut into tiles,
-and each pair of tiles is a task of its own, so no task grows with a hot leaf. A task compares its fingerprints
-exactly (all 64 bits) and returns a spanning forest of the links, never the pairs; components come from the forests.
+in a leaf of one of the trees. A leaf is a shard.
 
-Equal fingerprints meet in one row before any of this, so thousands of copies are one point.
+A leaf that holds more than SHARD_ROWS distinct fingerprints gets a tree of its own, built by a task from a bounded
+sample of its points, and its points are dealt again; this goes on, level by level, as long as trees make leaves
+smaller, so leaves keep their size however many points there are. The points of a leaf that no tree splits are cut into
+tiles, and each pair of tiles is a task of its own. A task compares its fingerprints exactly (all 64 bits) and returns
+a spanning forest of the links, never the pairs; components come from the forests.
 
-Similarity search. At a similarity of 0.8 over 5-word shingles the fingerprints differ in about ten bits, where no
-triangle bound prunes anything in 64 dimensions. `near_duplicates` therefore takes its shards from the documents'
-smallest shingle hashes under SKETCHES orders (a pair at 0.8 shares none with a chance of 0.2 ** SKETCHES). In a shard
-every pair is judged: parity bits of the sets rule out pairs that cannot have the similarity, the rest are compared as
-exact shingle sets, and only pairs found similar unite points. Rows of equal shingle sets, told by a 128-bit hash of the
-sorted set, are one point; the fingerprint plays no part.
+Equal fingerprints meet in one row before any of this, so thousands of copies are one point.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows share a fingerprint
 and a component; a null doc_id takes the smallest other id of its component, null if there is none; other columns
@@ -24,6 +21,7 @@ are ignored; an empty table gives an empty result. Long texts are hashed in bloc
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -32,23 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, read_table, small_side
+from .common import beside, materialize, read_table
 from .components import connected_components
 
 #: Shingles hashed at once.
 BLOCK = 1 << 18
-#: Fingerprints that the trees are built from.
+#: Fingerprints that a tree is built from.
 SAMPLE = 20_000
 #: Fingerprints of one leaf that the trees aim at, and the most in one tile.
 LEAF_ROWS, SHARD_ROWS = 1024, 2048
 #: Rows of shards that one partition takes.
 TASK_ROWS = 200_000
-#: Shingle hashes in one tile of the similarity search, and the most parity bits of a set.
-SHARD_HASHES, PARITY_BITS = 1 << 21, 1 << 15
-#: Min-wise orders of the similarity search.
-SKETCHES = 4
-#: Fixed odd multipliers of the min-wise orders.
-_ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+#: Levels of trees below the first.
+DEPTH = 8
 
 
 def shingle_hashes(text: bytes | None, words: int):
@@ -123,6 +117,18 @@ class VantageTree:
             self.outer[at] = self._build(points[d.astype(int) > mu - self.radius], leaf)
         return at
 
+    def pack(self) -> bytes:
+        parts = [np.array([self.mask, self.radius], dtype="<u8"), self.vantage.astype("<u8"), *(np.array(x, dtype="<i8") for x in (self.mu, self.inner, self.outer))]
+        return b"".join(p.tobytes() for p in parts)
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> VantageTree:
+        tree, words = cls.__new__(cls), np.frombuffer(blob, dtype="<u8")
+        tree.mask, tree.radius = words[0], int(words[1])
+        tree.vantage, *rest = np.split(words[2:], 4)
+        tree.mu, tree.inner, tree.outer = (x.view("<i8") for x in rest)
+        return tree
+
     def route(self, points: np.ndarray):
         """Pairs of leaf number and the positions of the points that go there."""
         todo = [(0, np.arange(len(points)))]
@@ -138,28 +144,22 @@ class VantageTree:
             todo += [(self.inner[node], at[d <= self.mu[node]]), (self.outer[node], at[d > self.mu[node] - self.radius])]
 
 
-def link_forest(points: np.ndarray, radius: int, nearest: bool = False) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the points (distinct, unsigned) at radius or fewer bits; every pair is compared.
-
-    nearest: a minimum spanning forest, whose edges up to any smaller distance span that distance's components.
-    """
+def link_forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the points (distinct, unsigned) at radius or fewer bits; every pair is compared."""
     n, edges = len(points), []
     step = max(1, (1 << 21) // max(1, n))
     close = np.zeros(n, dtype=bool)
     for i in range(0, n, step):
         close[i : i + step] = (np.bitwise_count(points[i : i + step, None] ^ points[None, :]) <= radius).sum(axis=1) > 1
     points = points[close]
-    if not len(points):
-        return edges
     label = np.arange(len(points))
-    bits = np.concatenate([np.bitwise_count(points[i : i + step, None] ^ points[None, :]) for i in range(0, len(points), step)])
-    for level in range(radius + 1) if nearest else (radius,):
-        near = bits <= level
-        for k in np.nonzero(near.sum(axis=1) > 1)[0]:
+    for i in range(0, len(points), step):
+        near = np.bitwise_count(points[i : i + step, None] ^ points[None, :]) <= radius
+        for k in range(len(near)):
             at = np.nonzero(near[k])[0]
             labels, first = np.unique(label[at], return_index=True)
             if len(labels) > 1:
-                edges += [(int(points[k]), int(points[at[j]])) for j, x in zip(first, labels, strict=True) if x != label[k]]
+                edges += [(int(points[i + k]), int(points[at[j]])) for j, x in zip(first, labels, strict=True) if x != label[i + k]]
                 label[np.isin(label, labels)] = labels[0]
     return edges
 
@@ -204,9 +204,34 @@ def shard_edges(shards: DataFrame, radius: int) -> DataFrame:
     return rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_forests(radius), "a long, b long")
 
 
+def _leaf_ids(shard: int, node: int) -> int:
+    """The number of a leaf of a shard's own tree; the lowest bit keeps telling the half of the bits."""
+    mixed = xxhash.xxh64_intdigest(np.array([shard, node], dtype="<i8").tobytes())
+    return _signed(mixed & ~1 | shard & 1)
+
+
+def _own_tree(leaf_rows: int, masks: tuple[int, ...], radius: int):
+    """The tree of a shard from a sample (shard, n, fp) of its points; no row if no split makes it smaller."""
+
+    def build(rows: pa.Table) -> pa.Table:
+        shard, n = rows.column("shard")[0].as_py(), rows.column("n")[0].as_py()
+        sample = np.sort(rows.column("fp").to_numpy()).view(np.uint64)
+        tree = VantageTree(sample, masks[shard & 1], radius, max(2.0, leaf_rows * len(sample) / n), shard & 0x7FFFFFFF)
+        found = [(shard, tree.pack())] if len(tree.mu) > 1 else []
+        return pa.table({"shard": pa.array([s for s, _ in found], pa.int64()), "blob": pa.array([b for _, b in found], pa.binary())})
+
+    return build
+
+
+def _route_own(tree: VantageTree, rows: pa.RecordBatch):
+    signed, shard = rows.column("fp").to_numpy(zero_copy_only=False).astype(np.int64), rows.column("shard")[0].as_py()
+    for node, at in tree.route(signed.view(np.uint64)):
+        yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(at), _leaf_ids(shard, node), dtype=np.int64)), "fp": pa.array(signed[at])})
+
+
 def vantage_shards(prints: DataFrame, radius: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(shard, fp): every pair of the distinct fingerprints within the radius shares a shard."""
-    n = prints.count()
+    spark, n = prints.sparkSession, prints.count()
     sample = np.array([r[0] for r in prints.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
     leaf = max(2.0, leaf_rows * len(sample) / max(1, n))
     masks = (0xFFFFFFFF, 0xFFFFFFFF00000000)
@@ -219,7 +244,28 @@ def vantage_shards(prints: DataFrame, radius: int, leaf_rows: int = LEAF_ROWS) -
                 for node, at in tree.route(signed.view(np.uint64)):
                     yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(at), 2 * node + k, dtype=np.int64)), "fp": pa.array(signed[at])})
 
-    return prints.select("fp").mapInArrow(route, "shard long, fp long")
+    now, done = materialize(prints.select("fp").mapInArrow(route, "shard long, fp long"), "leaves"), []
+    for _ in range(DEPTH):
+        sizes = materialize(now.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_ROWS), "oversize")
+        if sizes.isEmpty():
+            break
+        chance = F.pmod(F.xxhash64(F.lit("tree"), "fp"), F.lit(1 << 30)) < F.lit(float(SAMPLE << 30)) / F.col("n")
+        chosen = now.join(sizes, "shard").where(chance).select("shard", "n", "fp")
+        own = materialize(chosen.groupBy("shard").applyInArrow(_own_tree(leaf_rows, masks, radius // len(masks)), "shard long, blob binary"), "trees")
+        salts = F.ceil(F.col("n") / F.lit(float(TASK_ROWS))).cast("long").alias("salts")
+        dealt = materialize(own.join(sizes, "shard").select(F.col("shard").alias("key"), "blob", salts, "n"), "dealt")
+        rows = now.join(dealt.select(F.col("key").alias("shard"), "salts"), "shard").select(F.col("shard").alias("key"), "salts", F.struct("shard", "fp").alias("r"))
+        done.append(now.join(dealt.select(F.col("key").alias("shard")), "shard", "left_anti"))
+        total = dealt.agg(F.sum("n")).first()[0]
+        if total is None:
+            return _all(done)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
+        now = materialize(beside(rows, dealt, parts, VantageTree.unpack, _route_own, "shard long, fp long"), "leaves")
+    return _all([*done, now])
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def distinct_prints(prints: DataFrame) -> DataFrame:
@@ -243,190 +289,5 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: bytes | None, words: int) -> np.ndarray:
-    """The sorted distinct shingle hashes."""
-    blocks = list(shingle_hashes(text, words))
-    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, dtype=np.uint64)
-
-
-def parity_bits(own: np.ndarray) -> np.ndarray:
-    """Bit k is set if an odd number of hashes have k as their low bits; two sets differ in at least as many hashes as bits."""
-    size = min(PARITY_BITS, max(64, 1 << (2 * len(own)).bit_length()))
-    odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
-
-
-def _outlines(words: int, sketches: int):
-    def run(batches):
-        for batch in batches:
-            keys, sizes, bits, mins = [], [], [], []
-            for text in batch.column("text"):
-                own = shingle_set(text.as_py(), words)
-                keys.append(xxhash.xxh3_128_hexdigest(own.tobytes()))
-                sizes.append(len(own)), bits.append(parity_bits(own).tobytes())
-                mins.append([int((own * m).min().view(np.int64)) for m in _ORDERS[:sketches]] if len(own) else [0] * sketches)
-            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.string()), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary()), "mins": pa.array(mins, pa.list_(pa.int64()))})
-
-    return run
-
-
-def outlines(docs: DataFrame, row: str, words: int, sketches: int) -> DataFrame:
-    """(row, doc_id, key, n, bits, mins): the identity, size and parity bits of every row's shingle set and its smallest hashes."""
-    given = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return given.mapInArrow(_outlines(words, sketches), f"row {dict(given.dtypes)['row']}, doc_id long, key string, n long, bits binary, mins array<long>")
-
-
-def maybe_similar(n: np.ndarray, bits: list[np.ndarray], similarity: float):
-    """Blocks (at, others, matrix) that mark every pair which sizes and parity bits do not rule out; i meets i as well.
-
-    Sets of the similarity differ in at most (n1 + n2) * (1 - s) / (1 + s) hashes, so no such pair is left out.
-    """
-    widths = np.array([len(b) for b in bits])
-    for w in np.unique(widths):
-        own = np.flatnonzero(widths == w)
-        mine = np.stack([bits[i] for i in own])
-        for v in np.unique(widths[widths >= w]):
-            at = np.flatnonzero(widths == v)
-            if similarity * n[at].min() > n[own].max():
-                continue
-            others = np.stack([bits[i] for i in at])
-            while others.shape[1] > w:  # more low bits fold onto fewer
-                others = others[:, : others.shape[1] // 2] ^ others[:, others.shape[1] // 2 :]
-            step = max(1, (1 << 20) // (len(at) * int(w)))
-            for i in range(0, len(own), step):
-                k = own[i : i + step]
-                differ = np.bitwise_count(mine[i : i + step, None] ^ others[None]).sum(axis=2, dtype=np.int32)
-                small, large = np.minimum(n[k][:, None], n[at][None]), np.maximum(n[k][:, None], n[at][None])
-                yield k, at, (differ <= (small + large) * ((1 - similarity) / (1 + similarity)) + 1e-6) & (small >= similarity * large - 1e-6)
-
-
-def with_partners(n: np.ndarray, bits: list[np.ndarray], label: np.ndarray, similarity: float) -> np.ndarray:
-    """The places of the points that may be similar to one of another label."""
-    some = np.zeros(len(n), dtype=bool)
-    for k, at, near in maybe_similar(n, bits, similarity):
-        near &= label[k][:, None] != label[at][None]
-        some[k] |= near.any(axis=1)
-        some[at] |= near.any(axis=0)
-    return np.flatnonzero(some)
-
-
-def similar_forest(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Edges that unite the labels as all pairs of sets at the similarity do; only a pair of one label is left uncompared."""
-    n, label, edges = np.array([len(s) for s in sets]), label.copy(), []
-    if not len(n):
-        return edges
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    place = np.split(place, np.cumsum(n)[:-1])
-    held = np.zeros(len(values), dtype=bool)
-    for k, at, near in maybe_similar(n, [parity_bits(s) for s in sets], similarity):
-        for i, others in zip(k, near, strict=True):
-            others = at[others]
-            others = others[label[others] != label[i]]
-            if not len(others):
-                continue
-            held[place[i]] = True
-            for j in others:
-                if label[i] != label[j]:
-                    common = np.count_nonzero(held[place[j]])
-                    if common >= similarity * (n[i] + n[j] - common):
-                        edges.append((int(i), int(j)))
-                        label[label == label[j]] = label[i]
-            held[place[i]] = False
-    return edges
-
-
-def _by_task(columns: list[str], each):
-    """each(task, frame) for all tasks of a partition that is sorted by task; holds one task at a time."""
-
-    def run(batches):
-        kept = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            kept = table if kept is None else pa.concat_tables([kept, table])
-            tasks = kept.column("task").to_numpy()
-            if len(tasks) and tasks[0] != tasks[-1]:
-                starts = [0, *(np.flatnonzero(np.diff(tasks)) + 1).tolist()]
-                for i, j in zip(starts, starts[1:], strict=False):
-                    yield each(int(tasks[i]), kept.slice(i, j - i).select(columns).combine_chunks())
-                kept = kept.slice(starts[-1])
-        if kept is not None and len(kept):
-            yield each(kept.column("task")[0].as_py(), kept.select(columns).combine_chunks())
-
-    return run
-
-
-def _arrays(column, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), dtype="<u8") if kind == "bits" else x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in column]
-
-
-def _partners(similarity: float):
-    def each(task: int, rows: pa.Table) -> pa.RecordBatch:
-        pid = rows.column("pid").to_numpy()
-        at = with_partners(rows.column("n").to_numpy(), _arrays(rows.column("bits"), "bits"), rows.column("root").to_numpy(), similarity)
-        return pa.RecordBatch.from_pydict({"task": pa.array(np.full(len(at), task), pa.int64()), "pid": pa.array(pid[at], pa.int64()), "root": pa.array(rows.column("root").to_numpy()[at], pa.int64())})
-
-    return _by_task(["pid", "n", "bits", "root"], each)
-
-
-def _similar(similarity: float):
-    def each(task: int, rows: pa.Table) -> pa.RecordBatch:
-        pid = rows.column("pid").to_numpy()
-        edges = similar_forest(_arrays(rows.column("s"), "s"), rows.column("root").to_numpy(), similarity)
-        return pa.RecordBatch.from_pydict({"a": pa.array([int(pid[i]) for i, _ in edges], pa.int64()), "b": pa.array([int(pid[j]) for _, j in edges], pa.int64())})
-
-    return _by_task(["pid", "root", "s"], each)
-
-
-def _shingle_sets(words: int):
-    def run(batches):
-        for batch in batches:
-            for pid, text in zip(batch.column("pid"), batch.column("text"), strict=True):
-                yield pa.RecordBatch.from_pydict({"pid": pa.array([pid.as_py()], pa.int64()), "s": pa.array([shingle_set(text.as_py(), words).view(np.int64)], pa.list_(pa.int64()))})
-
-    return run
-
-
-def similar_edges(docs: DataFrame, row: str, points: DataFrame, shards: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Edges (a, b) that unite the roots of the points (pid, root, row, n, bits) as all similar pairs of a shard (shard, pid) do.
-
-    Shards above SHARD_ROWS points or SHARD_HASHES hashes go in pairs of tiles. Every pair of different roots is judged:
-    first by its parity bits, which rule out no similar pair, then, with the points that may have a partner, by its sets.
-    """
-    shards = materialize(shards.distinct().join(points.select("pid", "n"), "pid"), "shards")
-    weight = F.greatest(F.count(F.lit(1)) / F.lit(float(SHARD_ROWS)), F.sum("n") / F.lit(float(SHARD_HASHES)))
-    tiles = materialize(shards.groupBy("shard").agg(F.count(F.lit(1)).alias("c"), F.ceil(weight).cast("long").alias("tiles")).where("c > 1").select("shard", "tiles"), "tiles")
-    rows = shards.join(tiles, "shard").select("pid", "shard", F.greatest("tiles", F.lit(1)).alias("tiles")).withColumn("t", F.pmod(F.xxhash64(F.lit("tile"), "pid"), F.col("tiles")))
-    other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    rows = rows.select("pid", "shard", "t", other.alias("o")).select("pid", F.xxhash64("shard", F.least("t", "o"), F.greatest("t", "o")).alias("task"))
-    # a count of partitions of its own: the rows are few bytes and much work, and would be merged into few tasks
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards.count() // TASK_ROWS))
-    rows = rows.join(points.select("pid", "root", "n", "bits"), "pid").select("task", "pid", "root", "n", "bits")
-    some = materialize(rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_partners(similarity), "task long, pid long, root long"), "candidates")
-    first = materialize(points.select("pid", F.col("row").alias(row)).join(some.select("pid").distinct(), "pid", "left_semi"), "first")
-    texts = docs.select(F.col(row), F.col("text").cast("binary").alias("text")).join(small_side(first, 40), row)
-    sets = materialize(texts.select("pid", "text").mapInArrow(_shingle_sets(words), "pid long, s array<long>"), "sets")
-    given = some.join(sets, "pid").select("task", "pid", "root", "s").repartition(parts, "task").sortWithinPartitions("task")
-    return materialize(given.mapInArrow(_similar(similarity), "a long, b long"), "similar")
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, sketches: int = SKETCHES) -> DataFrame:
-    """docs with one row of each near-duplicate group: that with the smallest doc_id, of equal ids the first row written.
-
-    Every pair that shares a shard is judged by its exact sets, unless other pairs have united it. Texts without words
-    are one group.
-    """
-    rows, row = numbered(docs)
-    prints = materialize(outlines(rows, row, words, sketches), "outlines")
-    first = prints.groupBy("key").agg(F.min("doc_id").alias("low"), F.min(F.struct("row", "n", "bits", "mins")).alias("f"))
-    points = materialize(first.select(F.monotonically_increasing_id().alias("pid"), "key", "low", "f.*"), "points")
-    shards = points.select("pid", F.posexplode("mins").alias("k", "m")).select(F.xxhash64("k", "m").alias("shard"), "pid")
-    edges = similar_edges(rows, row, points.withColumn("root", F.col("pid")), shards, words, similarity)
-    found = components_of(points.select(F.col("pid").alias("fp"), "low"), edges).withColumnRenamed("fp", "pid")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("row").alias("r")))
-    stay = prints.select("row", "doc_id", "key").join(points.select("key", "pid"), "key").join(found, "pid").groupBy("root").agg(best.alias("k"))
-    gone = prints.select("row").join(materialize(stay.select(F.col("k.r").alias("row")), "stay"), "row", "left_anti")
-    return rows.join(small_side(materialize(gone.select(F.col("row").alias(row)), "gone"), 32), row, "left_anti").drop(row)
-
-
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"), words=3, radius=3)

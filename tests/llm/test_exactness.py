@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import components, decontaminate, exact_dedup, license_scan, line_dedup, simhash, url_filter
+from keelson.llm import components, decontaminate, exact_dedup, license_scan, line_dedup, near_sets, simhash, url_filter
 from keelson.llm.common import ascii_lower, code_words, fresh, held_out
 
 from . import brute
@@ -147,17 +147,37 @@ def test_vantage_tree_keeps_close_pairs_together(radius):
     assert (len(leaves) > 1 or radius > 3) and all(any({i, i + 400} <= leaf for leaf in leaves) for i in range(400))
 
 
-def test_nearest_forest():
-    rng = np.random.default_rng(2)
-    seed = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
-    points = np.unique(np.array([p ^ np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 9)).astype(np.uint64), initial=np.uint64(0)) for p in seed for _ in range(30)], dtype=np.uint64))
-    edges = simhash.link_forest(points, 12, nearest=True)
-    at = {int(p): i for i, p in enumerate(points)}
-    bits = lambda i, j: (int(points[i]) ^ int(points[j])).bit_count()
-    for level in (2, 5, 9, 12):
-        forest = {(at[a], at[b]) for a, b in edges if bits(at[a], at[b]) <= level}
-        want = brute.components(len(points), lambda i, j: bits(i, j) <= level)  # noqa: B023
-        assert want == brute.components(len(points), lambda i, j: (i, j) in forest or (j, i) in forest)  # noqa: B023
+def test_own_trees_of_large_leaves(spark, monkeypatch):
+    """With few sampled points the first trees leave large leaves; their own trees bound them, and no close pair is lost."""
+    monkeypatch.setattr(simhash, "SAMPLE", 300)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 100)
+    rng, dealt = np.random.default_rng(8), {}
+    for n in (4000, 16000):
+        points = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        near = points[:500] ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
+        given = spark.createDataFrame([(int(p),) for p in np.unique(np.concatenate([points, near])).view(np.int64)], "fp long")
+        shards = simhash.vantage_shards(given, 3, leaf_rows=60).distinct().toPandas()
+        sizes = shards.groupby("shard").size()
+        dealt[n] = len(shards) / given.count()
+        assert sizes.max() < 0.1 * n and sizes.mean() < 100
+        meets = shards.groupby("fp")["shard"].agg(set)
+        assert all(meets[a] & meets[b] for a, b in zip(points[:500].view(np.int64).tolist(), near.view(np.int64).tolist(), strict=True) if a != b)
+    assert dealt[16000] < 4 * dealt[4000]  # four times the points, and far from four times the rows for each
+    points = np.unique(rng.integers(0, 1 << 12, 900, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    rows = spark.createDataFrame([(int(p), int(p)) for p in points.view(np.int64)], "fp long, low long")
+    edges = {frozenset(r) for r in simhash.shard_edges(simhash.vantage_shards(rows, 12, leaf_rows=60), 12).collect()}
+    at = {int(p): i for i, p in enumerate(points.view(np.int64))}
+    linked = {(at[a], at[b]) for e in edges for a, b in (tuple(e), tuple(e)[::-1])}
+    want = brute.components(len(points), lambda i, j: (int(points[i]) ^ int(points[j])).bit_count() <= 12)
+    assert want == brute.components(len(points), lambda i, j: (i, j) in linked)
+
+
+def test_packed_tree():
+    points = np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64)
+    tree = simhash.VantageTree(points, 0xFFFFFFFF, 1, 20)
+    again = simhash.VantageTree.unpack(tree.pack())
+    same = lambda t: [(n, at.tolist()) for n, at in t.route(points)]
+    assert len(tree.mu) > 1 and same(tree) == same(again)
 
 
 def test_components(spark):
@@ -179,10 +199,10 @@ def test_near_duplicates(spark, docs, none):
         far[i] = f"f{i}"
     rows = [(5, " ".join(base)), (3, " ".join(near)), (9, " ".join(base)), (1, " ".join(far)), (20, ""), (21, None), (None, " ".join(near)), (30, "one two"), (31, "one two"), (31, "one two")]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS + ", _row string, row long")
-    kept = simhash.near_duplicates(df)
+    kept = near_sets.near_duplicates(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 20, 30]
-    assert simhash.near_duplicates(none).count() == 0
-    assert simhash.near_duplicates(docs).columns == docs.columns
+    assert near_sets.near_duplicates(none).count() == 0
+    assert near_sets.near_duplicates(docs).columns == docs.columns
 
 
 def kept_by_pairs(rows, k=5, similarity=0.8):
@@ -204,7 +224,7 @@ def test_near_duplicates_of_edited_copies(spark):
             for at in rng.choice(200, rng.integers(2, 5), replace=False):
                 words[at] = f"e{g}x{k}y{at}"
             rows.append((1000 * g + k, " ".join(words)))
-    got = sorted(r["doc_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    got = sorted(r["doc_id"] for r in near_sets.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
     assert got == kept_by_pairs(rows)
 
 
@@ -213,7 +233,37 @@ def test_same_fingerprint_is_not_the_same_text(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(["x"] * 304 + [f"d{i}n{k}" for k in rng.integers(0, 10**6, 100)])) for i in (1, 2)]
     one, two = (simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows)
-    assert one == two and sorted(r["doc_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()) == [1, 2]
+    assert one == two and sorted(r["doc_id"] for r in near_sets.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()) == [1, 2]
+
+
+def test_same_set_is_the_same_text(spark):
+    """Repeats move the fingerprint and leave the set: these texts are near duplicates, however far their fingerprints are."""
+    a, b = "p q r s t u v w", "a b c d e f g h"
+    rows = [(1, " ".join([a] * 50 + [b] * 3)), (2, " ".join([a] * 3 + [b] * 50)), (3, "p q r s t " * 100), (4, "p q r s t " * 100 + " ".join(f"x{i}" for i in range(30)))]
+    one, two = (simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows[:2])
+    assert (one ^ two).bit_count() > 3 and kept_by_pairs(rows) == [1, 3, 4]
+    assert sorted(r["doc_id"] for r in near_sets.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()) == [1, 3, 4]
+
+
+def test_hot_shard_in_small_tiles(spark, monkeypatch):
+    """One shard holds nearly all points, in many tiles: near copies, and texts that share half of their words with them."""
+    monkeypatch.setattr(near_sets, "TILE_ROWS", 10)
+    monkeypatch.setattr(near_sets, "LEADERS", 2)
+    rng, rows = np.random.default_rng(12), []
+    base = [f"w{i}" for i in range(100)]
+    for k in range(160):
+        words = list(base[: 100 if k % 2 else 60 + k % 30]) + ([] if k % 2 else [f"o{k % 40}x{i}" for i in range(12)])
+        for at in rng.choice(60, rng.integers(0, 4), replace=False):
+            words[at] = f"e{k}y{at}"
+        rows.append((k, " ".join(words)))
+    got = sorted(r["doc_id"] for r in near_sets.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == kept_by_pairs(rows)
+
+
+def test_near_duplicates_of_the_given_documents(spark, small):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(r["doc_id"] for r in near_sets.near_duplicates(spark.read.parquet(f"{small}/documents.parquet")).collect())
+    assert got == kept_by_pairs(rows)
 
 
 def test_parity_bits_rule_out_no_similar_pair():
@@ -221,7 +271,7 @@ def test_parity_bits_rule_out_no_similar_pair():
     sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 9, 30, 63, 64, 65, 500)]
     sets += [np.unique(np.concatenate([s[len(s) // 9 :], rng.integers(0, 1 << 63, len(s) // 12, dtype=np.uint64)])) for s in sets]
     near = np.zeros((len(sets), len(sets)), dtype=bool)
-    for k, at, block in simhash.maybe_similar(np.array([len(s) for s in sets]), [simhash.parity_bits(s) for s in sets], 0.8):
+    for k, at, block in near_sets.maybe_similar(np.array([len(s) for s in sets]), [near_sets.parity_bits(s) for s in sets], 0.8):
         near[np.ix_(k, at)] |= block
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
