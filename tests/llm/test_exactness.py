@@ -282,16 +282,18 @@ def test_parity_bits_rule_out_no_similar_pair():
 # op3
 
 
-@pytest.mark.parametrize("group_bytes", [1 << 20, 1])
-def test_lines(docs, none, group_bytes):
+@pytest.mark.parametrize("index_bytes", [1 << 20, 1])
+def test_lines(docs, none, index_bytes, monkeypatch):
+    monkeypatch.setattr(line_dedup, "TASK_LINES", 3)
     want = sorted(repr((i, n, d, brute.sha(t))) for (i, _), (n, d, t) in zip(AWKWARD, brute.lines(AWKWARD), strict=True))
-    assert rows_of(line_dedup.line_report(docs, group_bytes=group_bytes, shard_keys=1)) == want
+    assert rows_of(line_dedup.line_report(docs, index_bytes=index_bytes, shard_keys=1)) == want
     assert line_dedup.line_report(none).count() == 0
 
 
 def test_drop_lines(spark, docs):
     rich = docs.withColumn("n_chars", F.char_length("text").cast("int"))
     got = line_dedup.drop_repeated_lines(rich)
+    assert rows_of(got) == rows_of(line_dedup.drop_repeated_lines(rich, index_bytes=0))
     assert got.schema == rich.schema or got.dtypes == rich.dtypes
     want = sorted(repr((i, t if d else text)) for (i, text), (_, d, t) in zip(AWKWARD, brute.lines(AWKWARD), strict=True))
     assert rows_of(got.select("doc_id", "text")) == want
@@ -308,6 +310,25 @@ def test_perfect_hash():
     assert (shard.top[at] == np.arange(len(keys))).all() and (shard.docs == 3).all() and (shard.probe(keys, other + np.uint64(1)) == -1).all() and (shard.probe(keys + np.uint64(1), other) == -1).all()
 
 
+def test_keys_that_share_a_half(spark):
+    """Forged hashes: the perfect hash takes one key of those that share h1, the others are told by their whole hash."""
+    h1 = np.array([5, 5, 7, 5, 9], dtype=np.uint64)
+    h2, docs, top = np.arange(5, dtype=np.uint64), np.array([3, 4, 5, 6, 7]), np.array([30, 40, 50, 60, 70])
+    shard = line_dedup.Shard(line_dedup.pack_shard(h1, h2, docs, top))
+    at = shard.probe(h1, h2)
+    assert shard.docs[at].tolist() == docs.tolist() and shard.top[at].tolist() == top.tolist()
+    assert (shard.probe(h1, h2 + np.uint64(10)) == -1).all() and shard.drops(h1, h2, np.array([30, 1, 50, 1, 1]), 4).tolist() == [1, 3, 4]
+    with pytest.raises(ValueError):
+        line_dedup.PerfectHash.build(h1)
+
+
+def test_large_index_writes_no_text(spark, docs, monkeypatch):
+    written, plain = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, label: written.append((label, df.columns)) or plain(df, label))
+    line_dedup.line_report(docs.select("doc_id", "text"), index_bytes=1).count()
+    assert {label for label, _ in written} == {"lines", "shards", "shard_lines", "drops"} and not any({"text", "_text"} & set(c) for _, c in written)
+
+
 # op4
 
 
