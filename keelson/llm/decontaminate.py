@@ -6,7 +6,12 @@ necessary: a document that holds the window holds its rarest shingle. Documents
 and give for each place found a slice of the words around it; the slices join the windows on the shingle, the length
 and the position in the window bound where a match can start and end, and the words decide.
 
-Texts are read twice and never shuffled: the joined rows are a shingle and at most 2 * WINDOW words.
+Texts are read twice and never shuffled: the joined rows are a shingle and at most 2 * WINDOW words. Up to IN_ROW
+shingles are looked for as they are. More of them are put into a Bloom filter of at most BLOOM_BITS bits, a literal that
+the same expressions ask; what it lets through wrongly is met by the join, so results do not depend on it.
+
+A window is joined by its number; the items that hold it are fetched for matches alone. A side is broadcast only if its
+measured bytes are few.
 
 Defined cases: null and empty texts have no words, no hits and are clean; items without words are no windows, equal
 items count each by its item_id, null item_ids are ignored; repeated rows are judged each; other columns pass through
@@ -15,22 +20,25 @@ items count each by its item_id, null item_ids are ignored; repeated rows are ju
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_words, materialize, numbered, read_table, small_side
+from .common import code_words, materialize, measured_side, numbered, read_table, small_side
 
 WINDOW, SHINGLE = 10, 2
-#: Up to so many prefix shingles are tested within the row before the join; beyond, the join alone tests them.
-IN_ROW = 200_000
+#: Up to so many shingles are listed in the row's expressions; more go into a filter of at least and at most so many bits.
+IN_ROW = 100_000
+BLOOM_LEAST, BLOOM_BITS, PROBES = 1 << 16, 1 << 23, 4
 
 
 def _windows(items: DataFrame, window: int) -> DataFrame:
-    """(words, items) for every distinct window."""
+    """(words, item_id) for every distinct window of every item."""
     words = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), code_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
-    each = words.select("item_id", "w", F.explode(starts).alias("i")).select("item_id", F.slice("w", F.col("i") + 1, window).alias("words"))
-    return each.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    return words.select("item_id", "w", F.explode(starts).alias("i")).select(F.slice("w", F.col("i") + 1, window).alias("words"), "item_id").distinct()
 
 
 def _shingle(words: Column, i: Column, size: int) -> Column:
@@ -46,56 +54,88 @@ def _places(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
 
 
-def _among(token: Column, tokens: list[str] | None) -> Column:
-    return F.lit(True) if tokens is None else token.isin(tokens)
+def _slots(token: Column, bits: int) -> list[Column]:
+    h = F.xxhash64(token)
+    return [F.pmod(h + F.shiftrightunsigned(h, 32) * F.lit(k), F.lit(bits)) for k in range(PROBES)]
+
+
+class Tokens:
+    """Which tokens may be among those of the written table (token, size): a list of each size if they are few, else a filter."""
+
+    def __init__(self, table: DataFrame):
+        self.listed: dict[int, list[str]] | None = None
+        n = table.count()
+        if n <= IN_ROW:
+            self.listed = {}
+            for r in table.collect():
+                self.listed.setdefault(r["size"], []).append(r["token"])
+            return
+        self.bits = min(BLOOM_BITS, max(BLOOM_LEAST, 1 << (12 * n).bit_length()))
+        slots = table.select(F.explode(F.array(*_slots(F.col("token"), self.bits))).alias("s"))
+        words = slots.groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 31))")).alias("b"))
+        filled = {r["w"]: r["b"] for r in words.collect()}  # at most BLOOM_BITS / 32 rows
+        self.filter = json.dumps([filled.get(w, 0) for w in range(self.bits // 32)])
+
+    def has(self, size: int) -> bool:
+        return self.listed is None or size in self.listed
+
+    def __call__(self, token: Column, size: int) -> Column:
+        if self.listed is not None:
+            return token.isin(self.listed.get(size, []))
+        words = F.from_json(F.lit(self.filter), "array<long>")
+        set_bit = lambda s: F.call_function("shiftright", F.get(words, F.shiftright(s, 5).cast("int")), s.bitwiseAND(F.lit(31)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return reduce(Column.__and__, map(set_bit, _slots(token, self.bits)))
 
 
-def _held(words: Column, size: int, tokens: list[str] | None) -> Column:
-    """The listed shingles that stand in the words, repeats included."""
-    return F.filter(F.transform(_places(words, size), lambda i: _shingle(words, i, size)), lambda t: _among(t, tokens))
+def _held(words: Column, size: int, tokens: Tokens) -> Column:
+    """The shingles in the words that may be among the tokens, repeats included."""
+    return F.filter(F.transform(_places(words, size), lambda i: _shingle(words, i, size)), lambda t: tokens(t, size))
 
 
-def _spots(words: Column, size: int, tokens: list[str] | None, window: int) -> Column:
-    """Every place of a listed shingle with the words that a window over it can reach."""
-    at = F.filter(_places(words, size), lambda i: _among(_shingle(words, i, size), tokens))
+def _spots(words: Column, size: int, tokens: Tokens, window: int) -> Column:
+    """Every place of a shingle that may be among the tokens, with the words that a window over it can reach."""
+    at = F.filter(_places(words, size), lambda i: tokens(_shingle(words, i, size), size))
     first = lambda i: F.greatest(i - (window - 1), F.lit(0))
     return F.transform(at, lambda i: F.struct(i.alias("at"), _shingle(words, i, size).alias("token"), first(i).alias("from"), F.slice(words, first(i) + 1, 2 * window - 1).alias("near")))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Two written tables: base (row, doc_id, n_words) for every row of docs, and hits (row, n_hit, items)."""
-    windows = materialize(_windows(items, window), "windows")
+    owners = materialize(_windows(items, window), "owners")
+    windows = materialize(owners.select("words").distinct().select(F.monotonically_increasing_id().alias("wid"), "words"), "windows")
+    owners = materialize(owners.join(windows, "words").select("wid", "item_id"), "owners")
     long = F.size("words") >= shingle
-    shingles = windows.select("words", "items", F.explode(F.when(long, F.transform(_places(F.col("words"), shingle), lambda i: F.struct(i.alias("off"), _shingle(F.col("words"), i, shingle).alias("token")))).otherwise(F.array(F.struct(F.lit(0).alias("off"), F.concat_ws(" ", "words").alias("token"))))).alias("s"))
-    shingles = shingles.select("words", "items", "s.off", "s.token", F.when(long, shingle).otherwise(F.size("words")).alias("size"))
+    shingles = windows.select("wid", "words", F.explode(F.when(long, F.transform(_places(F.col("words"), shingle), lambda i: F.struct(i.alias("off"), _shingle(F.col("words"), i, shingle).alias("token")))).otherwise(F.array(F.struct(F.lit(0).alias("off"), F.concat_ws(" ", "words").alias("token"))))).alias("s"))
+    shingles = shingles.select("wid", "words", "s.off", "s.token", F.when(long, shingle).otherwise(F.size("words")).alias("size"))
     tokens = materialize(shingles.select("token", "size").distinct(), "tokens")
 
     given = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").alias("doc_id"), code_words(F.col("text")).alias("w"))
     sizes = sorted(r["size"] for r in tokens.select("size").distinct().collect())
-    few = tokens.count() <= IN_ROW
-    listed = {s: [r["token"] for r in tokens.where(F.col("size") == s).collect()] if few else None for s in sizes}
+    every = Tokens(tokens)
 
     # how often each shingle of a window stands in the documents
-    found = [_held(F.col("w"), s, listed[s]) for s in sizes]
+    found = [_held(F.col("w"), s, every) for s in sizes]
     if sizes:
         seen = given.select(F.explode(F.concat(*found)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-        seen = materialize(seen if few else seen.join(tokens.select("token").distinct(), "token", "left_semi"), "counts")
-        counted = shingles.join(small_side(seen, 128), "token", "left").fillna(0, ["n"])
+        seen = materialize(seen if every.listed is not None else seen.join(tokens.select("token").distinct(), "token", "left_semi"), "counts")
+        counted = shingles.join(measured_side(seen, F.octet_length("token") + 16), "token", "left").fillna(0, ["n"])
     else:
         counted = shingles.withColumn("n", F.lit(0).cast("long"))
     rarest = F.min(F.struct("n", "token", "off", "size")).alias("k")
-    index = materialize(counted.groupBy("words", "items").agg(rarest).select("words", "items", "k.token", "k.off", "k.size"), "index")
-    entries = index.count()
-    prefix = {s: [r["token"] for r in index.where(F.col("size") == s).select("token").distinct().collect()] if entries <= IN_ROW else None for s in sizes}
+    index = materialize(counted.groupBy("wid", "words").agg(rarest).select("wid", "words", "k.token", "k.off", "k.size"), "index")
+    prefix = Tokens(materialize(index.select("token", "size").distinct(), "prefix"))
 
-    places = [_spots(F.col("w"), s, prefix[s], window) for s in sizes if prefix[s] is None or prefix[s]]
+    places = [_spots(F.col("w"), s, prefix, window) for s in sizes if prefix.has(s)]
     none = F.array().cast("array<struct<at:int,token:string,from:int,near:array<string>>>")
     base = materialize(given.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), (F.concat(*places) if places else none).alias("places")), "places")
     spots = base.select("row", "n_words", F.explode("places").alias("p")).select("row", "n_words", "p.*")
     start, length = F.col("at") - F.col("off"), F.size("words")
-    joined = spots.join(small_side(index, 400, entries), "token").where((start >= 0) & (start + length <= F.col("n_words")))
-    matched = joined.where(F.slice("near", start - F.col("from") + 1, length) == F.col("words")).select("row", start.alias("s"), (start + length).alias("e"), "items")
-    runs = matched.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    width = F.octet_length(F.concat_ws(" ", "words")) + F.octet_length("token") + 16 * F.size("words") + 64
+    joined = spots.join(measured_side(index, width), "token").where((start >= 0) & (start + length <= F.col("n_words")))
+    matched = joined.where(F.slice("near", start - F.col("from") + 1, length) == F.col("words")).select("row", start.alias("s"), (start + length).alias("e"), "wid")
+    matched = materialize(matched, "matched")
+    held = matched.select("row", "wid").distinct().join(measured_side(owners, F.octet_length("item_id") + 32), "wid").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    runs = matched.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("runs")).join(held, "row")
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
     covered = F.aggregate("runs", zero, lambda acc, r: F.struct((acc["n"] + F.greatest(r["e"] - F.greatest(r["s"], acc["to"]), F.lit(0))).cast("long").alias("n"), F.greatest(acc["to"], r["e"]).alias("to")), lambda acc: acc["n"])
     hits = materialize(runs.select("row", covered.alias("n_hit"), "items"), "hits")
