@@ -1,7 +1,9 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Labels are learned from a sample of at most SAMPLE labelled documents, the smallest by a hash of their ids, outside the
-held-out fold; one task learns, and returns the weights that L1 leaves. These sparse weights (at most 2 ** BITS) are
+Labels are learned from a sample of labelled documents outside the held-out fold: those that stand in the documents, the
+smallest by a hash of their ids, at most SAMPLE of them and at most COORDINATES coordinates together (the texts are whole;
+the first document beyond the bound ends the sample). Texts become coordinates where they are read; the coordinates alone
+travel, to one task that learns and returns the weights that L1 leaves. These sparse weights (at most 2 ** BITS) are
 broadcast, and every whole text is scored where it is read.
 
 Defined cases: null and empty texts score by the bias; a document that is labelled twice counts as toxic if any label
@@ -16,39 +18,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out, read_table
+from .common import fresh, held_out, materialize, read_table, small_side
 from .hashed_text import BITS, Ftrl, Hasher, sigmoid
 
-#: Labelled documents that are learned from.
-SAMPLE = 16_000
+#: Labelled documents that are learned from, and their coordinates (4 bytes each) together.
+SAMPLE, COORDINATES = 16_000, 1 << 25
 FOLDS, FOLD = 5, 0
 THRESHOLD = 0.5
 
 
+def _coordinates(batches):
+    hasher = Hasher()
+    for batch in batches:
+        at = [hasher(t.as_py()).astype("<u4").tobytes() for t in batch.column("text")]
+        yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), "y": batch.column("y"), "at": pa.array(at, pa.binary())})
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, skip=None) -> DataFrame:
-    """(y, text) of at most rows labelled documents, from all over the table."""
+    """The written (_id, y, at) of at most rows labelled documents of docs, from all over the table."""
     y = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("y")).where("_id IS NOT NULL AND y IS NOT NULL")
     if skip is not None:
         y = y.where(~skip(F.col("_id")))
-    chosen = y.groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)  # the bound of the broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("text"))
-    found = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.first("y").alias("y"), F.max("text").alias("text"))
-    return found.select("_id", "y", "text").coalesce(1)
+    there = y.groupBy("_id").agg(F.max("y").alias("y")).join(texts.select("_id"), "_id", "left_semi")
+    chosen = materialize(there.orderBy(F.xxhash64("_id"), "_id").limit(rows), "chosen")
+    found = texts.join(small_side(chosen, 32), "_id").groupBy("_id").agg(F.first("y").alias("y"), F.max("text").alias("text"))
+    return materialize(found.select("_id", "y", "text").mapInArrow(_coordinates, "_id long, y int, at binary"), "sample")
 
 
-def _learn(classes: list[int], ftrl: Ftrl):
-    """For each class a row (class, coordinate, weight), the bias at coordinate -1."""
+def _learn(classes: list[int], ftrl: Ftrl, most: int):
+    """For each class a row (class, coordinate, weight), the bias at coordinate -1; rows come in the order of the sample."""
 
     def run(batches):
-        hasher, rows, y, ids = Hasher(), [], [], []
+        rows, y, left = [], [], most
         for batch in batches:
-            rows += [hasher(t.as_py()) for t in batch.column("text")]
-            y += batch.column("y").to_pylist()
-            ids += batch.column("_id").to_pylist()
+            for at, label in zip(batch.column("at"), batch.column("y").to_pylist(), strict=True):
+                own = np.frombuffer(at.as_py(), dtype="<u4")
+                left -= len(own)
+                if left >= 0:
+                    rows.append(own)
+                    y.append(label)
         if not rows:
             return
-        order = np.argsort(np.array(ids, dtype=np.int64), kind="stable")  # whatever order the rows came in
-        rows, y = [rows[i] for i in order], np.array(y)[order]
+        y = np.array(y)
         for c in classes:
             at, w, bias = ftrl.fit(rows, (y == c).astype(float))
             yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at) + 1, c, dtype=np.int32)), "at": pa.array(np.append(at, -1)), "w": pa.array(np.append(w, bias))})
@@ -58,7 +70,8 @@ def _learn(classes: list[int], ftrl: Ftrl):
 
 def train(sample: DataFrame, classes: list[int], ftrl: Ftrl | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """Class -> coordinates, weights, bias; empty without a labelled row. One one-against-rest model for each class."""
-    got = sample.mapInArrow(_learn(classes, ftrl or Ftrl()), "k int, at long, w double").toPandas()
+    ordered = sample.coalesce(1).sortWithinPartitions(F.xxhash64("_id"), "_id")  # at most SAMPLE rows, whatever the input
+    got = ordered.mapInArrow(_learn(classes, ftrl or Ftrl(), COORDINATES), "k int, at long, w double").toPandas()
     models = {}
     for k, part in got.groupby("k"):
         own = part[part["at"] >= 0]
