@@ -8,7 +8,12 @@ gives every document a posterior over the domains. The rates r >= 0 of the docum
 with n_i tokens of document i, N tokens in all and t_d = budget * weight_d: expected token totals of the domains match
 the targets, and of all rates that match, those stay nearest to 1. Projected gradient with momentum does this: a step
 needs only s, one small row of sums over a written table of (n, p); a document's rate follows from its own p and the
-few numbers of the past steps, so rates are never stored, shuffled or collected.
+few numbers of the steps since they were last written, so rates are never shuffled or collected. Every CARRY steps the
+table is written with its rates, so a step costs the same however many came before.
+
+Descent ends when the projected gradient (in the norm weighted by tokens) is below TOLERANCE, which bounds the objective's
+distance to its optimum by TOLERANCE ** 2 / (2 * ridge); momentum restarts when it points uphill. If STEPS do not suffice,
+the operator raises an error and returns no rates.
 
 A rate above or below a whole number is rounded by a hash of the document's id and position-free content length, so the
 expected copies equal the rate and reruns agree.
@@ -34,7 +39,8 @@ from .toxicity import labelled_sample, train
 TARGETS = {0: 0.05, 1: 0.95}
 BUDGET, RIDGE = 1.0, 1e-3
 SAMPLE = 8_000
-STEPS, TOLERANCE = 60, 1e-4
+#: Steps after which descent is given up, its end, and the steps between two writings of the rates.
+STEPS, TOLERANCE, CARRY = 500, 1e-4, 16
 
 
 class Posteriors:
@@ -59,68 +65,88 @@ class Posteriors:
 
 
 def _members(models, domains: list[int]):
-    """(doc_id, n, p) of every text."""
+    """(doc_id, n, p) of every text, and the rates to start from."""
 
     def run(batches):
         posteriors = Posteriors(models.value, domains)
         for batch in batches:
             n, p = posteriors(batch.column("text"))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(n), "p": pa.array(p.tolist(), pa.list_(pa.float64()))})
+            one = pa.array(np.ones(len(n)))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(n), "p": pa.array(p.tolist(), pa.list_(pa.float64())), "rate": one, "ahead": one})
 
     return run
 
 
 class Descent:
-    """The steps so far: enough to compute any document's rate from its posteriors."""
+    """The steps since the rates were last written: enough to go on from any document's rates with its posteriors."""
 
     def __init__(self, targets: np.ndarray, ridge: float):
         self.targets, self.ridge, self.step = targets, ridge, 1.0 / (1.0 + ridge)
-        self.gaps: list[np.ndarray] = []  # s - t at the looked-ahead rates
+        self.steps: list[tuple[np.ndarray, float]] = []  # s - t at the looked-ahead rates, and the momentum that follows
 
-    def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rates after all steps, and the looked-ahead rates whose totals the next step needs."""
-        rate = ahead = np.ones(len(p))
-        for k, gap in enumerate(self.gaps):
+    def forward(self, p: np.ndarray, rate: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rates after the steps, the looked-ahead rates, and the last two differences of the rates and from the looked-ahead ones."""
+        move = slope = np.zeros(len(p))
+        for gap, momentum in self.steps:
             new = np.maximum(0.0, ahead - self.step * (p @ gap + self.ridge * (ahead - 1.0)))
-            ahead = new + k / (k + 3) * (new - rate)
-            rate = new
-        return rate, ahead
+            move, slope = new - rate, (ahead - new) / self.step
+            rate, ahead = new, new + momentum * (new - rate)
+        return rate, ahead, move, slope
+
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        return self.forward(p, np.ones(len(p)), np.ones(len(p)))[0]
+
+
+def _columns(batch, *names: str) -> list[np.ndarray]:
+    get = lambda c: np.stack(batch.column(c).to_numpy(zero_copy_only=False)) if c == "p" else batch.column(c).to_numpy(zero_copy_only=False).astype(float)
+    return [get(c) for c in names]
 
 
 def _sums(descent: Descent):
+    """Totals of the looked-ahead rates, the squared gradient and how far momentum points uphill, of each batch."""
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                n = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
-                p = np.stack(batch.column("p").to_numpy(zero_copy_only=False))
-                rate, ahead = descent.rates(p)
-                yield pa.RecordBatch.from_pydict({"now": pa.array([((rate * n) @ p).tolist()], pa.list_(pa.float64())), "next": pa.array([((ahead * n) @ p).tolist()], pa.list_(pa.float64())), "n": pa.array([n.sum()], pa.float64())})
+                n, p, rate, ahead = _columns(batch, "n", "p", "rate", "ahead")
+                rate, ahead, move, slope = descent.forward(p, rate, ahead)
+                yield pa.RecordBatch.from_pydict({"s": pa.array([((ahead * n) @ p).tolist()], pa.list_(pa.float64())), "g": pa.array([float(n @ slope**2)]), "up": pa.array([float(n @ (slope * move))]), "n": pa.array([n.sum()])})
 
     return run
 
 
-def _totals(members: DataFrame, descent: Descent) -> tuple[np.ndarray, np.ndarray, float]:
-    k = len(descent.targets)
-    part = members.select("n", "p").mapInArrow(_sums(descent), "now array<double>, next array<double>, n double")
-    row = part.agg(*[F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c in ("now", "next") for i in range(k)], F.sum("n").alias("n")).first()
-    return np.array([row[f"now{i}"] or 0.0 for i in range(k)]), np.array([row[f"next{i}"] or 0.0 for i in range(k)]), row["n"] or 0.0
+def _carried(descent: Descent):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                p, rate, ahead = _columns(batch, "p", "rate", "ahead")
+                rate, ahead, _, _ = descent.forward(p, rate, ahead)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("p"), pa.array(rate), pa.array(ahead)], names=["doc_id", "n", "p", "rate", "ahead"])
+
+    return run
 
 
 def fit_rates(members: DataFrame, targets: np.ndarray, ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE) -> Descent:
-    """Descends until no domain's share moves by more than the tolerance, over the written table members (n, p)."""
-    descent, before = Descent(targets, ridge), None
-    for _ in range(steps):
-        now, ahead, n = _totals(members, descent)
-        if n == 0 or before is not None and np.abs(now / n - before).max() < tolerance * 0.1 and np.abs(ahead / n - now / n).max() < tolerance:
-            break
-        before = now / n
-        descent.gaps.append(ahead / n - targets)
-    return descent
+    """Descends to the tolerance over the written table members (doc_id, n, p, rate, ahead); the whole way from rate 1."""
+    descent, way, momentum = Descent(targets, ridge), Descent(targets, ridge), 0
+    for _ in range(steps + 1):
+        row = members.select("n", "p", "rate", "ahead").mapInArrow(_sums(descent), "s array<double>, g double, up double, n double").agg(*[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(len(targets))], F.sum("g").alias("g"), F.sum("up").alias("up"), F.sum("n").alias("n")).first()
+        n = row["n"] or 0.0
+        if n == 0 or descent.steps and row["g"] / n < tolerance**2:
+            return way
+        momentum = 0 if row["up"] > 0 else momentum + 1
+        step = (np.array([row[f"s{i}"] for i in range(len(targets))]) / n - targets, momentum / (momentum + 3))
+        way.steps.append(step)
+        descent.steps.append(step)
+        if len(descent.steps) >= CARRY:
+            members = materialize(members.mapInArrow(_carried(descent), members.schema), "rates")
+            descent = Descent(targets, ridge)  # whose next sums see no last step and so no gradient yet
+    raise RuntimeError(f"mixing rates did not converge in {steps} steps: squared gradient {row['g'] / n}")
 
 
 def _final(descent: Descent, n: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Rates after all steps; texts without tokens keep rate 1."""
-    return np.where(n > 0, descent.rates(p)[0], 1.0)
+    return np.where(n > 0, descent.rates(p), 1.0)
 
 
 def _rated(shared):
@@ -159,14 +185,14 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict[int, float] |
     context = docs.sparkSession.sparkContext
     models = context.broadcast(learned)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    members = materialize(given.mapInArrow(_members(models, domains), "doc_id long, n long, p array<double>"), "members")
+    members = materialize(given.mapInArrow(_members(models, domains), "doc_id long, n long, p array<double>, rate double, ahead double"), "members")
     return models, domains, members, context.broadcast(fit_rates(members, budget * share / share.sum(), ridge))
 
 
 def mixture_rates(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | None = None, learn_from: DataFrame | None = None, **more) -> DataFrame:
     """doc_id, n (tokens), p (posteriors in the order of the sorted domains), rate and copies for every row of docs."""
     _, _, members, shared = fit_mixture(docs, labels, targets, learn_from, **more)
-    rated = members.mapInArrow(_rated(shared), "doc_id long, n long, p array<double>, rate double")
+    rated = members.select("doc_id", "n", "p").mapInArrow(_rated(shared), "doc_id long, n long, p array<double>, rate double")
     return rated.withColumn("copies", _copies("doc_id", "n", "rate"))
 
 

@@ -1,14 +1,19 @@
 """The learned operators: held-out accuracy, exact token counts, totals that meet their targets."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from keelson.llm import hashed_text, language_id, mixing, token_count, toxicity
 
+from . import brute
+
 DOCS = "doc_id long, text string"
 COMMON = [f"word{i}" for i in range(200)]
 BAD = ["vile", "nasty", "foul"]
@@ -34,6 +39,88 @@ def labelled(spark):
     return docs, labels
 
 
+def plain_grams(text):
+    """Coordinates of words, pairs and pairs that skip a word."""
+    mix = lambda h: plain_mix(plain_mix(h))
+    h = [xxhash.xxh64_intdigest(w) for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())]
+    grams = [mix(a) for a in h] + [mix(a * 0x9E3779B97F4A7C15 + b) for a, b in zip(h, h[1:])] + [mix(a * 0xC2B2AE3D27D4EB4F + b + 1) for a, b in zip(h, h[2:])]
+    return {g >> 44 for g in grams}
+
+
+def plain_mix(h):
+    h &= (1 << 64) - 1
+    return (h ^ h >> 32) * 0xD6E8FEB86659FD93 & (1 << 64) - 1
+
+
+def plain_ftrl(rows, label, alpha=1.0, beta=1.0, l1=8.0, epochs=5):
+    """FTRL-proximal as published, a coordinate at a time, over (doc_id, text, y); the order of rows is the operator's."""
+    order = sorted(range(len(rows)), key=lambda k: (spark_hash(rows[k][0]), rows[k][0]))
+    rows = [(sorted(plain_grams(rows[k][1])), float(rows[k][2] == label)) for k in order]
+    z, n = {}, {}
+    bz = bn = bias = 0.0
+
+    def weight(c):
+        zc = z.get(c, 0.0)
+        return 0.0 if abs(zc) <= l1 else -(zc - math.copysign(l1, zc)) / ((beta + math.sqrt(n[c])) / alpha)
+
+    rng = np.random.default_rng(7)
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            at, y = rows[k]
+            w = {c: weight(c) for c in at}
+            bias = -bz / ((beta + math.sqrt(bn)) / alpha) if bn else 0.0
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()) + bias)))) - y
+            for c in at:
+                old = n.get(c, 0.0)
+                z[c] = z.get(c, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[c]
+                n[c] = old + g * g
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * bias
+            bn += g * g
+    return {c: w for c in z if (w := weight(c))}, bias
+
+
+def spark_hash(i):
+    """Spark's xxhash64 of a long: XXH64 of its eight bytes, seed 42, as a signed number."""
+    h = xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_toxicity_against_plain(spark, labelled):
+    """Texts and labels that repeat, conflict, tie or are null; the sample's bound; clashing columns."""
+    docs, labels = labelled
+    truth = {i: y for i, _, y in corpus()}
+    texts = [(i, t, truth[i]) for i, t, _ in corpus() if brute.fold(i, 5) != 0]
+    odd = [(1, None), (2, ""), (3, "vile vile nasty"), (3, "vile vile nasty"), (None, "word7 foul"), (4, "word1 word2 " * 4000), (5, "ÉTÉ é vile")]
+    given = spark.createDataFrame([(i, t, 1, 2, 0.5) for i, t in odd], DOCS + ", y int, _id long, score double")
+    for bound in (16_000, 100):
+        some = sorted(texts, key=lambda r: (spark_hash(r[0]), r[0]))[:bound]
+        w, bias = plain_ftrl(some, 1)
+        got = toxicity.toxicity_scores(given, labels, learn_from=docs, sample=bound)
+        assert got.columns == ["doc_id", "text", "y", "_id", "score", "score_"]
+        want = sorted((i or -1, 1 / (1 + math.exp(-(sum(w.get(c, 0.0) for c in plain_grams(t)) + bias)))) for i, t in odd)
+        assert np.allclose(sorted((r["doc_id"] or -1, r["score_"]) for r in got.collect()), want, atol=1e-9)
+
+
+def test_toxicity_sample_is_bounded(labelled, monkeypatch):
+    """Coordinates count too: the sample ends with them, and labels without a document take no place."""
+    docs, labels = labelled
+    more = labels.union(docs.sparkSession.range(10_000, 20_000).selectExpr("id", "1", "1"))
+    sample = toxicity.labelled_sample(docs, more, "toxic", 50)
+    assert sample.count() == 50
+    monkeypatch.setattr(toxicity, "COORDINATES", 0)
+    assert toxicity.train(sample, [1]) == {}
+
+
+def test_toxicity_held_out_ranking(spark):
+    """The chance that a held-out toxic document of the given table scores above a clean one."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    got = toxicity.op7_toxicity(spark, sf).where("held_out").join(labels, "doc_id").toPandas()
+    bad, good = got.loc[got["y"] == 1, "score"].to_numpy(), got.loc[got["y"] == 0, "score"].to_numpy()
+    auc = ((bad[:, None] > good[None]) + 0.5 * (bad[:, None] == good[None])).mean()
+    assert len(bad) > 3 and len(good) > 50 and auc > 0.9
+
+
 def test_toxicity(labelled):
     docs, labels = labelled
     got = {r["doc_id"]: r["score_"] for r in toxicity.toxicity_scores(docs, labels).collect()}
@@ -141,22 +228,52 @@ def test_token_counts_frame(spark):
     assert token_count.token_counts(df.limit(0)).count() == 0
 
 
-def test_descent_meets_targets():
-    """Against a plain projected gradient that runs much longer."""
+@pytest.mark.parametrize("carry", [1000, 3])
+def test_descent_ends_at_the_optimum(spark, monkeypatch, carry):
+    """Against a plain projected gradient that runs much longer; rates written on the way change nothing."""
+    monkeypatch.setattr(mixing, "CARRY", carry)
     rng = np.random.default_rng(0)
     p = rng.dirichlet([0.3, 0.3, 0.3], 400)
-    n = rng.integers(1, 50, 400).astype(float)
+    n = rng.integers(0, 50, 400)
     t = np.array([0.5, 0.3, 0.2])
-    d = mixing.Descent(t, 1e-3)
-    for _ in range(60):
-        _, ahead = d.rates(p)
-        d.gaps.append((ahead * n) @ p / n.sum() - t)
-    rate, _ = d.rates(p)
-    assert (rate >= 0).all() and np.abs((rate * n) @ p / n.sum() - t).max() < 5e-3
+    members = spark.createDataFrame([(i, int(n[i]), p[i].tolist(), 1.0, 1.0) for i in range(400)], "doc_id long, n long, p array<double>, rate double, ahead double").coalesce(2)
+    d = mixing.fit_rates(members, t, 0.05)
+    rate = d.rates(p)
     r = np.ones(400)
     for _ in range(20_000):
-        r = np.maximum(0, r - d.step * (p @ ((r * n) @ p / n.sum() - t) + 1e-3 * (r - 1)))
-    assert np.abs(r - rate).max() < 0.05
+        r = np.maximum(0, r - d.step * (p @ ((r * n) @ p / n.sum() - t) + 0.05 * (r - 1)))
+    assert (rate >= 0).all() and np.abs(r - rate).max() < 5e-3 and np.abs((rate - r) * n @ p / n.sum()).max() < 1e-3
+    if carry == 3:
+        with pytest.raises(RuntimeError):
+            mixing.fit_rates(members, t, 0.05, steps=2)
+
+
+def plain_mixture(rows, labelled, targets, domains):
+    """Words, coordinates, one-against-rest FTRL, posteriors, descent and copies, one text after the other."""
+    models = [plain_ftrl(labelled, d) for d in domains]
+    out = []
+    for i, text in rows:
+        at = sorted(plain_grams(text))
+        p = [1 / (1 + math.exp(-max(-35, min(35, sum(w.get(c, 0.0) for c in at) + bias)))) for w, bias in models]
+        out.append([i, len(re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())), [x / sum(p) for x in p]])
+    n, p, t = np.array([x[1] for x in out], dtype=float), np.array([x[2] for x in out]), np.array(targets)
+    r = np.ones(len(out))
+    for _ in range(30_000):
+        r = np.maximum(0, r - (p @ ((r * n) @ p / n.sum() - t) + mixing.RIDGE * (r - 1)) / (1 + mixing.RIDGE))
+    return [(i, k, post, 1.0 if k == 0 else x) for (i, k, post), x in zip(out, r.tolist(), strict=True)]
+
+
+def test_mixing_against_plain(spark, labelled):
+    docs, labels = labelled
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(700, None), (701, ""), (1, corpus()[1][1]), (None, "vile word1"), (702, "word3 " * 5000)]
+    df = spark.createDataFrame([(i, t, 1, "x", 2.0) for i, t in rows], DOCS + ", n int, p string, rate double").repartition(3)
+    got = mixing.mixture_rates(df, labels, {0: 0.6, 1: 0.4}, domain="toxic").collect()
+    known = {r["doc_id"] for r in df.collect()}
+    want = plain_mixture(rows, [(i, t, max(y, 0)) for i, t, y in corpus() if i in known], [0.6, 0.4], [0, 1])
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[3])
+    got = sorted(((r["doc_id"], r["n"], r["p"], r["rate"], r["copies"]) for r in got), key=key)
+    for a, b in zip(got, sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and np.allclose(a[2], b[2], atol=1e-9) and abs(a[3] - b[3]) < 0.02 and int(a[3]) <= a[4] <= int(a[3]) + 1
 
 
 def test_mixing(spark, labelled):
