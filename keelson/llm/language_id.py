@@ -6,8 +6,10 @@ its log frequency in each language, a character that no order knows by the floor
 order given up would be the same for all languages, so there is none.) A text's language has the highest sum over its
 words; the score is its share after a softmax.
 
-The sample is bounded: every language gives about PER_LANGUAGE documents, the smallest by a hash of their ids, and the
-model keeps the FEATURES most frequent grams. Whole texts are read, in training and prediction.
+The labelled rows that are learned from are bounded: the LANGUAGES languages with most rows (of equal counts the first by
+name) give about PER_LANGUAGE documents each, chosen by a hash of their ids, and fewer if these hold more than SAMPLE_BYTES
+together. The model keeps every gram of them, for each gram the languages alone that have it. Whole texts are read, in
+training and prediction.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with nothing learned everything is `und`;
 ties go to the language that comes first by name; null languages are not learned from; repeated rows are predicted
@@ -22,14 +24,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table
+from .common import held_out, materialize, read_table, small_side
 
 FOLDS, FOLD = 4, 2
-PER_LANGUAGE, FEATURES = 1500, 300_000
+#: Bounds of the labelled rows.
+PER_LANGUAGE, LANGUAGES, SAMPLE_BYTES = 1000, 1000, 64 << 20
 SMOOTHING = 0.1
 ORDERS = (5, 4, 3, 2, 1)
 #: Words that are scored at once.
@@ -66,24 +68,37 @@ def _count(batches):
 
 
 class BackoffModel:
-    """Log frequencies by language of words (order 0) and character n-grams, from a table (k, gram, counts by language)."""
+    """Log frequencies by language of words (order 0) and character n-grams, from a table (k, gram, at, n): the languages that have the gram, and how often."""
 
     def __init__(self, langs: list[str], table: pa.Table):
         self.langs, self.table = langs, table
         order = table.column("k").to_numpy()
-        counts = pc.list_flatten(table.column("counts")).to_numpy().astype(np.float64).reshape(len(order), len(langs))
+        at, n = (np.fromiter(chain.from_iterable(table.column(c).to_pylist()), dtype=t) for c, t in (("at", np.int64), ("n", np.float64)))
+        sizes = np.fromiter(map(len, table.column("at").to_pylist()), dtype=np.int64, count=len(order))
+        self.starts = np.concatenate([[0], np.cumsum(sizes), [sizes.sum()]]).astype(np.int64)  # the last row, an unknown character, has none
+        self.at = at
         self.words: dict[str, int] = {}
         self.grams: dict[str, int] = {}  # of all orders: a gram's length tells its order
         for i, (k, gram) in enumerate(zip(order.tolist(), table.column("gram").to_pylist(), strict=True)):
             (self.grams if k else self.words)[gram] = i
-        self.logs = np.empty((len(order) + 1, len(langs)))
-        for k in (0, *ORDERS):  # ends with the single characters, whose floor is the last row
-            of = np.flatnonzero(order == k)
-            whole = counts[of].sum(axis=0) + SMOOTHING * (len(of) + 1)
-            self.logs[of] = np.log((counts[of] + SMOOTHING) / whole)
-            self.logs[-1] = np.log(SMOOTHING / whole)
+        self.order = np.append(order, ORDERS[-1]).astype(np.int64)
+        # a row adds its order's floor for all languages, and log((n + smoothing) / smoothing) for those that have the gram
+        self.floors = np.zeros((max(ORDERS) + 1, len(langs)))
+        of = np.repeat(order, sizes)
+        for k in (0, *ORDERS):
+            whole = np.bincount(at[of == k], weights=n[of == k], minlength=len(langs)) + SMOOTHING * ((order == k).sum() + 1)
+            self.floors[k] = np.log(SMOOTHING / whole)
+        self.gains = np.log((n + SMOOTHING) / SMOOTHING)
         self._seen: dict[str, tuple[int, ...]] = {}
 
+    def score(self, rows: list[int]) -> np.ndarray:
+        """The summed logs of the rows, by language."""
+        rows = np.array(rows, dtype=np.int64)
+        start, size = self.starts[rows], self.starts[rows + 1] - self.starts[rows]
+        places = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+        found = np.bincount(self.at[places], weights=self.gains[places], minlength=len(self.langs))
+        return found + np.bincount(self.order[rows], minlength=len(self.floors)) @ self.floors
+
     def rows(self, word: str) -> tuple[int, ...]:
         """The rows of the table that a word scores by."""
         got = self._seen.get(word)
@@ -104,7 +119,7 @@ class BackoffModel:
                     at += len(gram)
                     break
             else:
-                out.append(len(self.logs) - 1)
+                out.append(len(self.order) - 1)
                 at += 1
         return tuple(out)
 
@@ -114,27 +129,29 @@ class BackoffModel:
             return "und", 0.0
         total = np.zeros(len(self.langs))
         for i in range(0, len(words), BLOCK):
-            total += self.logs[list(chain.from_iterable(map(self.rows, words[i : i + BLOCK])))].sum(axis=0)
+            total += self.score(list(chain.from_iterable(map(self.rows, words[i : i + BLOCK]))))
         share = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.langs[best], float(share[best] / share.sum())
 
 
-def train(docs: DataFrame, skip=None, per_language: int = PER_LANGUAGE, features: int = FEATURES) -> BackoffModel:
+def train(docs: DataFrame, skip=None, per_language: int = PER_LANGUAGE) -> BackoffModel:
     """Learns from docs (doc_id, text, lang), rows where skip holds left out."""
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     if skip is not None:
         rows = rows.where(~skip(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
-    chosen = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)
-    counts = rows.where(chosen).select("lang", "text").mapInArrow(_count, "lang string, k int, gram string, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    langs = sorted(sizes)
-    by = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).cast("long") for lang in langs]
-    grams = counts.groupBy("k", "gram").agg(F.sum("n").alias("n"), (F.array(*by) if by else F.array().cast("array<long>")).alias("counts"))
-    return BackoffModel(langs, grams.orderBy(F.desc("n"), "k", "gram").limit(features).select("k", "gram", "counts").toArrow())
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    sizes = materialize(sizes.orderBy(F.desc("rows"), "lang").limit(LANGUAGES), "languages")
+    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("rows"))
+    whole = sizes.agg(F.sum(share * F.col("bytes"))).first()[0] or 1.0
+    share = share * F.lit(min(1.0, SAMPLE_BYTES / max(whole, 1.0)))
+    chosen = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    given = rows.join(small_side(sizes.select("lang", share.alias("share")), 64), "lang").where(chosen)
+    counts = given.select("lang", "text").mapInArrow(_count, "lang string, k int, gram string, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    langs = sorted(r["lang"] for r in sizes.collect())
+    number = docs.sparkSession.createDataFrame(list(enumerate(langs)), "at int, lang string")
+    grams = counts.join(F.broadcast(number), "lang").groupBy("k", "gram").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("by"))  # at most LANGUAGES of them
+    return BackoffModel(langs, grams.orderBy("k", "gram").select("k", "gram", F.col("by.at").alias("at"), F.col("by.n").alias("n")).toArrow())
 
 
 def _predict(model):

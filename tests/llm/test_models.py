@@ -182,12 +182,67 @@ def test_language(spark):
 
 def test_language_backs_off():
     rows = [(0, "ab", [9, 0]), (1, "q", [2, 1]), (3, "<qq", [1, 5]), (3, "zzz", [4, 0])]
-    m = language_id.BackoffModel(["x", "y"], pa.table({"k": [r[0] for r in rows], "gram": [r[1] for r in rows], "counts": [r[2] for r in rows]}))
+    some = [[i for i, n in enumerate(r[2]) if n] for r in rows]
+    m = language_id.BackoffModel(["x", "y"], pa.table({"k": [r[0] for r in rows], "gram": [r[1] for r in rows], "at": some, "n": [[r[2][i] for i in at] for r, at in zip(rows, some, strict=True)]}))
     assert m.predict("ab")[0] == "x"
     log = lambda c, total, grams: np.log((np.array(c) + 0.1) / (np.array(total) + 0.1 * (grams + 1)))
     # <qq is known two orders down, > at no order
-    assert np.allclose(m.logs[list(m.rows("qq"))].sum(axis=0), log([1, 5], [5, 5], 2) + log([0, 0], [2, 1], 1))
-    assert np.allclose(m.logs[list(m.rows("ab"))].sum(axis=0), log([9, 0], [9, 0], 1))
+    assert np.allclose(m.score(list(m.rows("qq"))), log([1, 5], [5, 5], 2) + log([0, 0], [2, 1], 1))
+    assert np.allclose(m.score(list(m.rows("ab"))), log([9, 0], [9, 0], 1))
+
+
+def plain_language(learned, text):
+    """Words first, then the longest known n-gram of each place, from plain counts."""
+    words = re.compile(r"[^\W\d_]+")
+    counts = {}  # (order, gram) -> lang -> n
+    for _, t, lang in learned:
+        for w in words.findall(t.lower()):
+            for k, gram in [(0, w)] + [(k, f"<{w}>"[i : i + k]) for k in (5, 4, 3, 2, 1) for i in range(len(w) + 3 - k)]:
+                counts.setdefault((k, gram), {}).setdefault(lang, 0)
+                counts[k, gram][lang] += 1
+    langs = sorted({lang for _, _, lang in learned})
+    grams = {k: sum(1 for o, _ in counts if o == k) for k in range(6)}
+    whole = {(k, lang): sum(c.get(lang, 0) for (o, _), c in counts.items() if o == k) for k in range(6) for lang in langs}
+    log = lambda k, gram, lang: math.log((counts.get((k, gram), {}).get(lang, 0) + 0.1) / (whole[k, lang] + 0.1 * (grams[k] + 1)))
+    found = words.findall((text or "").lower())
+    if not langs or not any(c.isalpha() for w in found for c in w):
+        return "und", 0.0
+    total = dict.fromkeys(langs, 0.0)
+    for w in found:
+        steps, at, marked = [], 0, f"<{w}>"
+        if (0, w) in counts:
+            steps = [(0, w)]
+        while at < len(marked) and not (0, w) in counts:
+            k, gram = next(((k, marked[at : at + k]) for k in (5, 4, 3, 2, 1) if (k, marked[at : at + k]) in counts), (1, marked[at]))
+            steps.append((k, gram))
+            at += len(gram)
+        for lang in langs:
+            total[lang] += sum(log(k, gram, lang) for k, gram in steps)
+    best = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+    return best, 1 / sum(math.exp(total[x] - total[best]) for x in langs)
+
+
+def test_language_against_plain(spark):
+    """Ties, unseen words and characters, repeats, many dirty languages, clashing columns and an empty table."""
+    rows = speech(60) + [(100 + i, f"x{'abcdefghij'[i]} same", f"dirty{i}") for i in range(10)] + [(200, "same", "aa"), (201, "same", "bb"), (202, None, "aa"), (203, "x", None)]
+    df = spark.createDataFrame(rows, DOCS + ", lang string").repartition(3)
+    model = language_id.train(df)
+    odd = [(1, "same"), (1, "same"), (2, "kalo glumpf unseenword"), (3, None), (4, "日本 çantkalo"), (5, "zzzz qqqq"), (None, "miruxx"), (6, "strak " * 3000), (7, "99 _ !")]
+    given = spark.createDataFrame([(i, t, "l", 1, 0.5) for i, t in odd], DOCS + ", lang_pred string, k int, score double")
+    got = language_id.identify_language(given, model)
+    learned = [r for r in rows if None not in r]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
+    for a, b in zip(sorted(map(tuple, got.collect()), key=key), sorted(((i, *plain_language(learned, t)) for i, t in odd), key=key), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9
+    assert language_id.identify_language(given.limit(0), model).count() == 0
+
+
+def test_language_rows_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    df = spark.createDataFrame([(i, f"w{'ab'[i % 2]} v", f"l{min(i // 10, 2)}") for i in range(25)], DOCS + ", lang string")
+    assert language_id.train(df).langs == ["l0", "l1"]
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 0)
+    assert language_id.train(df).table.num_rows == 0
 
 
 def test_language_held_out_accuracy(spark):
