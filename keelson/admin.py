@@ -1,8 +1,9 @@
 """A read-only HTTP view of a store: ``python -m keelson.admin --dir /data/store [--proto tables.proto] [--addr 127.0.0.1:8080]``.
 
-GET /api/keys    prefix, cursor, limit          raw entries in byte order, with the next page's cursor
-GET /api/keys    table_id, cursor, limit        rows sorted by primary key; the cursor is an offset
-GET /api/key     k (base64url)                  one entry: hex, printable, decoded key and fields
+GET /api/keys    prefix, cursor, limit, decode          raw entries in byte order (typed rows too), with the next page's cursor
+GET /api/keys    table_id, cursor, limit                rows sorted by primary key; the cursor is an offset
+GET /api/keys    table_id, sort=physical, ...           the table's raw entries in byte order
+GET /api/key     k (base64url)                          one entry: hex, printable, decoded key and fields
 GET /api/stats                                  segments, rows and bytes of each table
 GET, POST, DELETE /api/schema; GET /schema      tables; import of proto text; clear; the text
 GET /metrics                                    counters in text form
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .errors import KeelsonError, NotFound
 from .operators import inspect, paging, ttl
-from .schema import SchemaRegistry
+from .schema import SchemaRegistry, uvarint
 from .sources.kv import KEYSPACE
 from .sources.store import Config, RecordTable, Store
 
@@ -33,27 +34,46 @@ def parse_uint64(text: str | None, default: int = 0) -> int:
     return int(text) if text and text.isascii() and text.isdigit() and int(text) < 1 << 64 else default
 
 
+def wanted_uint64(name: str, text: str | None) -> int:
+    """A decimal number of 64 bits, 0 where none is given; a ValueError for other text."""
+    if not text:
+        return 0
+    if (n := parse_uint64(text, -1)) < 0:
+        raise ValueError(f"{name} is no number: {text}")
+    return n
+
+
 class Admin:
     """The requests, as functions from parameters to plain values."""
 
     def __init__(self, store: Store, registry: SchemaRegistry | None = None, max_body: int = MAX_BODY):
         self.store, self.registry, self.max_body, self.proto = store, registry or SchemaRegistry(), max_body, ""
 
-    def keys(self, prefix: str = "", cursor: str = "", limit: str | None = None, table_id: str | None = None, **_) -> dict:
-        table = self.registry.by_id(parse_uint64(table_id)) if table_id else None
-        if table_id and table is None:
+    def _keyspace(self):
+        """Raw pairs and the rows of declared tables, as one keyspace."""
+        there = self.store.manifest()["tables"]
+        return inspect.raw_view([(t, RecordTable(self.store, t).stored()) for t in self.registry.tables() if t.name in there], RecordTable(self.store, KEYSPACE).read())
+
+    def keys(self, prefix: str = "", cursor: str = "", limit: str | None = None, table_id: str | None = None, decode: str = "", sort: str = "", **_) -> dict:
+        number = wanted_uint64("table_id", table_id)
+        table = self.registry.by_id(number) if number else None
+        if number and table is None:
             raise NotFound(f"no table {table_id}")
-        if table:
+        if table and sort == "physical":
+            prefix_bytes = uvarint(table.table_id)
+        else:
+            prefix_bytes = prefix.encode()
+        if table and sort != "physical":
             records = RecordTable(self.store, table).stored()
-            guard, n, offset = paging.scan_guard(records).first(), paging.clamp_limit(limit), parse_uint64(cursor)
+            guard, n, offset = paging.scan_guard(records).first(), paging.clamp_limit(limit), wanted_uint64("cursor", cursor)
             rows = [r.asDict() for r in inspect.sorted_view(records, table, offset, n).drop("_seq", "_op").collect()]
             more = offset + len(rows) < guard["total"] and len(rows) == n
             return {"entries": rows, "next_cursor": str(offset + n) if more else None, "total": guard["total"], "scan_truncated": guard["truncated"]}
-        view, following = inspect.entries(RecordTable(self.store, KEYSPACE).read(), self.registry, prefix.encode(), cursor, limit)
+        view, following = inspect.entries(self._keyspace(), self.registry, prefix_bytes, cursor, limit, decode in ("1", "true"), self.store.config.clock())
         return {"entries": [r.asDict(recursive=True) for r in view.collect()], "next_cursor": following}
 
     def key(self, k: str = "", **_) -> dict:
-        return inspect.point_view(RecordTable(self.store, KEYSPACE).read(), self.registry, inspect.key_of(k))
+        return inspect.point_view(self._keyspace(), self.registry, inspect.key_of(k))
 
     def stats(self, **_) -> list[dict]:
         return [r.asDict() for r in self.store.stats().collect()]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEPTH, WIDTH, AGE_AFTER = 4, 2048, 1_000_000
@@ -39,6 +39,17 @@ class CountMinSketch:
         return int(self.counts[self._cells(key)].min())
 
 
+def cell_counts(df: DataFrame, column: str) -> DataFrame:
+    """(depth, cell, n): the counts of a count-min sketch of DEPTH rows of WIDTH cells; cells are 16-bit parts of an MD5.
+
+    At most DEPTH * WIDTH rows leave the aggregate, however many values there are; sketches add up by cell.
+    """
+    digest = F.md5(F.col(column).cast("string").cast("binary"))
+    cells = [F.struct(F.lit(k).alias("depth"), F.pmod(F.conv(F.substring(digest, 1 + 4 * k, 4), 16, 10).cast("int"), F.lit(WIDTH)).alias("cell")) for k in range(DEPTH)]
+    given = df.where(F.col(column).isNotNull()).select(F.explode(F.array(*cells)).alias("c"))
+    return given.groupBy("c.depth", "c.cell").agg(F.count(F.lit(1)).alias("n"))
+
+
 def frequency_sketch(column: str | Column, seed: int = 42) -> Column:
     """Spark's sketch with the same depth and width, as an aggregate that merges partial sketches."""
     return F.count_min_sketch(column, F.lit(2 / WIDTH), F.lit(1 - 0.5**DEPTH), F.lit(seed))

@@ -48,14 +48,15 @@ class Metrics:
 
     @contextmanager
     def timed(self, op: str):
-        start, result = time.perf_counter(), "ok"
+        """Counts and times an operation; the block may set the result in the dict that it gets."""
+        start, told = time.perf_counter(), {"result": "ok"}
         try:
-            yield
+            yield told
         except Exception:
-            result = "error"
+            told["result"] = "error"
             raise
         finally:
-            self.count("ops_total", op=op, result=result)
+            self.count("ops_total", op=op, result=told["result"])
             self.observe("op_duration_seconds", time.perf_counter() - start, op=op)
 
     def value(self, name: str, **labels) -> float:

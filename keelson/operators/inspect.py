@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +19,41 @@ def cursor_of(key: bytes) -> str:
 
 
 def key_of(cursor: str) -> bytes:
-    return base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4))
+    """The key of a cursor; a ValueError for text that is no cursor."""
+    return base64.b64decode(cursor + "=" * (-len(cursor) % 4), altchars=b"-_", validate=True)
 
 
-def entries(kv: DataFrame, registry: SchemaRegistry, prefix: bytes = b"", cursor: str = "", limit: int | str | None = None) -> tuple[DataFrame, str | None]:
-    """A page of (key_hex, key_b64, key, size, preview, decoded) in byte order, and the cursor of the next one."""
+def raw_view(tables: list[tuple[TableSchema, DataFrame]], kv: DataFrame) -> DataFrame:
+    """(key, value) of the raw pairs and of the records (with their expiry) of typed tables, as one keyspace.
+
+    A declared table's rows are encoded as they are read; their keys are expressions, so a page costs the tables it shows.
+    """
+    for table, records in tables:
+        kv = kv.unionByName(codec.encode_records(records, table, ttl.EXPIRES if ttl.EXPIRES in records.columns else None))
+    return kv
+
+
+ROW_STRUCT = "struct<fields:array<struct<name:string,type:string,value:string>>,expires_at:long,expired:boolean>"
+
+
+def _decoded_row(registry: SchemaRegistry, now: int):
+    @F.pandas_udf(ROW_STRUCT)
+    def apply(keys: pd.Series, values: pd.Series) -> pd.DataFrame:
+        out = []
+        for key, value in zip(keys, values, strict=True):
+            table = registry.by_key(bytes(key)) if bytes(key[:1]) != b"\xff" else None
+            expires, fields = codec.decode_fields(table, bytes(value)) if table else (0, [])
+            out.append(([(n, kind, v.hex() if isinstance(v, bytes) else str(v)) for n, kind, v in fields], expires, 0 < expires < now))
+        return pd.DataFrame(out, columns=["fields", "expires_at", "expired"])
+
+    return apply
+
+
+def entries(kv: DataFrame, registry: SchemaRegistry, prefix: bytes = b"", cursor: str = "", limit: int | str | None = None, decode: bool = False, now: int | None = None) -> tuple[DataFrame, str | None]:
+    """A page of (key_hex, key_b64, key, size, preview, decoded) in byte order, and the cursor of the next one.
+
+    decode: also `row`, the record's fields, expiry and whether it is past.
+    """
     from ..sources.kv import in_prefix
 
     n = paging.clamp_limit(limit)
@@ -35,6 +66,7 @@ def entries(kv: DataFrame, registry: SchemaRegistry, prefix: bytes = b"", cursor
     view = shown.select(
         text.hex_dump(F.col("key")).alias("key_hex"), text.base64url(F.col("key")).alias("key_b64"), text.printable_column(F.col("key")).alias("key"), F.octet_length("value").cast("long").alias("size"),
         text.printable_column(F.substring("value", 1, text.PREVIEW_BYTES)).alias("preview"), codec.decode_key_column(registry, F.col("key")).alias("decoded"),
+        *([_decoded_row(registry, ttl.now_ns() if now is None else now)(F.col("key"), F.col("value")).alias("row")] if decode else []),
     )
     return view, cursor_of(keys[n - 1]) if len(keys) > n else None
 

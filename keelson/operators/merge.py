@@ -11,31 +11,37 @@ from pyspark.sql import functions as F
 
 SEQ, OP = "_seq", "_op"
 PUT, DELETE = 0, 1
-#: A tail of at most so many rows is broadcast against the base.
-BROADCAST_ROWS = 200_000
+#: A tail's keys are broadcast against the base if their measured bytes, and so many for each row, are at most this.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 32
 
 
 def newest(log: DataFrame, pk: str) -> DataFrame:
-    """The last operation on each key; of two with one sequence number, that with the larger hash."""
+    """The last operation on each key; of two with one sequence number, that with the larger hash.
+
+    The key stays a grouping column, so predicates on it go below the aggregate, into the scan of the log.
+    """
     rest = [c for c in log.columns if c != pk]
     order = F.struct(F.col(SEQ), F.xxhash64(*[f"`{c}`" for c in rest]))
-    best = log.groupBy(F.col(pk).alias("_pk")).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in log.columns]), order).alias("_r"))
-    return best.select("_r.*")
+    best = log.groupBy(pk).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), order).alias("_r"))
+    return best.select(*[F.col(f"`{c}`") if c == pk else F.col(f"_r.`{c}`").alias(c) for c in log.columns])
 
 
 def puts(latest: DataFrame) -> DataFrame:
     return latest.where(F.col(OP) == PUT)
 
 
-def merge(base: DataFrame | None, tail: DataFrame | None, pk: str, tail_rows: int | None = None) -> DataFrame:
-    """Records as they stand: the base's, but for keys that the tail touches, and the tail's puts."""
+def merge(base: DataFrame | None, tail: DataFrame | None, pk: str, tail_bytes: int | None = None) -> DataFrame:
+    """Records as they stand: the base's, but for keys that the tail touches, and the tail's puts.
+
+    tail_bytes: what the tail's keys take at most, measured when they were written; unknown, nothing is broadcast.
+    """
     if tail is None:
         return base
     last = newest(tail, pk)
     if base is None:
         return puts(last)
     keys = tail.select(F.col(pk)).distinct()
-    small = tail_rows is not None and tail_rows <= BROADCAST_ROWS
+    small = tail_bytes is not None and tail_bytes <= BROADCAST_BYTES
     return base.join(F.broadcast(keys) if small else keys, pk, "left_anti").select(*base.columns).unionByName(puts(last))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCAN_GUARD = 10_000
@@ -43,6 +43,26 @@ def scan_guard(df: DataFrame, guard: int = SCAN_GUARD) -> DataFrame:
     return df.select(F.lit(1)).limit(guard + 1).agg(F.least(n, F.lit(guard)).alias("total"), (n > guard).alias("truncated"))
 
 
+def index_page(df: DataFrame, field: str, pk: str, n: int = 0) -> DataFrame:
+    """Rows in the order of an index: by the field's value, then by key; n <= 0 means all."""
+    ordered = df.orderBy(field, pk)
+    return ordered.limit(n) if n > 0 else ordered
+
+
+def physical_positions(df: DataFrame, pk: str) -> DataFrame:
+    """(pk, position) in physical order, from 1, without one task that sorts all keys.
+
+    Keys are dealt by their first two bytes: a row's position is its rank among the keys of its bucket and the count of
+    all buckets before, a broadcast of at most 65,536 rows.
+    """
+    low = F.col(pk).cast("long")
+    keyed = df.select(pk, (low.bitwiseAND(F.lit(255)) * 256 + F.shiftrightunsigned(low, 8).bitwiseAND(F.lit(255))).alias("_b"))
+    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(*physical_order(F.col(pk))))
+    return keyed.select(pk, "_b", rank.cast("long").alias("_r")).join(F.broadcast(before), "_b").select(pk, (F.col("_r") + F.col("_before")).alias("position"))
+
+
 def physical_order(pk: Column, width: int = 8) -> list[Column]:
     """Sort keys that put integers in the byte order of their little-endian form."""
     wide = pk.cast("long")

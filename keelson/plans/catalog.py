@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codec, sketch, text
 from ..metrics import bucket_counts
 from ..operators import indexes, inspect, merge, paging, ttl
 from ..operators.query import Query
+from ..schema import TableSchema
 from .tables import CLOCK, CUSTOMER, DOCUMENTS, EVENTS, LINEITEM, NATION, ORDERS, expiring_events, query, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,7 +185,8 @@ def seek_before(spark, sf_dir):
 
 @_query(f"SELECT {_CUSTOMER} FROM customer WHERE c_mktsegment = 'MACHINERY' ORDER BY c_custkey LIMIT 1")
 def first_match(spark, sf_dir):
-    return query(spark, sf_dir, CUSTOMER).where("c_mktsegment", "=", "MACHINERY").limit(1).exec()
+    row = query(spark, sf_dir, CUSTOMER).where("c_mktsegment", "=", "MACHINERY").first()
+    return spark.createDataFrame([row] if row else [], CUSTOMER.spark)
 
 
 @_query("SELECT count(*) AS n FROM events WHERE event_type = 'click'")
@@ -210,9 +211,12 @@ def scan_guard(spark, sf_dir):
 
 @_query("SELECT c_custkey, row_number() OVER (ORDER BY " + ", ".join(f"(c_custkey >> {8 * k}) & 255" for k in range(8)) + ") AS position FROM customer")
 def physical_order(spark, sf_dir):
-    # the position is global by definition: one ordered pass over the keys alone
-    w = W.orderBy(*paging.physical_order(F.col("c_custkey")))
-    return read(spark, sf_dir, CUSTOMER).select("c_custkey", F.row_number().over(w).cast("long").alias("position"))
+    return paging.physical_positions(read(spark, sf_dir, CUSTOMER), "c_custkey")
+
+
+@_query(f"SELECT {_ORDERS} FROM orders ORDER BY o_custkey, o_orderkey LIMIT 100")
+def index_order(spark, sf_dir):
+    return paging.index_page(query(spark, sf_dir, ORDERS).exec(), "o_custkey", "o_orderkey", 100)
 
 
 # time to live
@@ -281,9 +285,9 @@ def base64url_keys(spark, sf_dir):
     return read(spark, sf_dir, NATION).select("n_nationkey", text.base64url(F.to_binary("n_name", F.lit("utf-8"))).alias("cursor"))
 
 
-@_query("SELECT doc_id, octet_length(encode(text)) > 256 AS truncated FROM documents")
+@_query("SELECT doc_id, octet_length(encode(repeat(text, 200))) > 262144 AS truncated FROM documents")
 def truncation_flag(spark, sf_dir):
-    return read(spark, sf_dir, DOCUMENTS).select("doc_id", text.truncated(F.col("text"), text.CLEAN_BYTES).alias("truncated"))
+    return read(spark, sf_dir, DOCUMENTS).select("doc_id", text.truncated(F.repeat("text", F.lit(200))).alias("truncated"))
 
 
 @_query("SELECT doc_id, 8 + 12 + 4 + 4 + 8 + octet_length(encode(text)) + octet_length(encode(lang)) + octet_length(encode(source)) AS size FROM documents")
@@ -334,6 +338,33 @@ def decode_key(spark, sf_dir):
     return keyed.select("c_custkey", "k.kind", "k.table", "k.pk")
 
 
+_REF = TableSchema.declare("order_ref", [("o_orderkey", "int64"), ("o_custkey", "int64"), ("o_orderstatus", "string"), ("o_orderpriority", "string")], "o_orderkey", table_id=7)
+_TEXT = lambda c: f"{_LE(f'octet_length(encode({c}))', 4)} || hex(encode({c}))"
+
+
+@_query(f"SELECT o_orderkey, {_LE('o_orderkey', 8)} || {_LE('o_custkey', 8)} || {_TEXT('o_orderstatus')} || {_TEXT('o_orderpriority')} AS value FROM orders")
+def encode_value(spark, sf_dir):
+    records = codec.encode_records(spark.read.parquet(f"{sf_dir}/orders.parquet"), _REF)
+    number = F.conv(F.concat(*[F.hex(F.substring("key", 9 - k, 1)) for k in range(8)]), 16, 10).cast("long")  # the key's bytes, behind the table's id
+    return records.select(number.alias("o_orderkey"), F.hex("value").alias("value"))
+
+
+@_query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")
+def decode_bytes(spark, sf_dir):
+    """Records laid out by expressions, not by the codec that reads them."""
+    size = lambda c: codec.little_endian(F.octet_length(c), 4)
+    data = F.concat(codec.little_endian(F.col("o_orderkey"), 8), codec.little_endian(F.col("o_custkey"), 8), *[x for c in ("o_orderstatus", "o_orderpriority") for x in (size(c), F.to_binary(c, F.lit("utf-8")))])
+    return codec.decode_records(spark.read.parquet(f"{sf_dir}/orders.parquet").select(data.alias("value")), _REF).drop("_expires_at")
+
+
+@_query("SELECT o_orderkey, 'index' AS kind, 'orders' AS \"table\", 'o_custkey' AS field, CAST(o_custkey AS VARCHAR) AS value, CAST(o_orderkey AS VARCHAR) AS pk FROM orders")
+def decode_index_key(spark, sf_dir):
+    from ..schema import SchemaRegistry
+
+    keyed = read(spark, sf_dir, ORDERS).select("o_orderkey", codec.decode_key_column(SchemaRegistry([ORDERS]), codec.encode_index_key_column(ORDERS, "o_custkey")).alias("k"))
+    return keyed.select("o_orderkey", "k.kind", "k.table", "k.field", "k.value", "k.pk")
+
+
 @_query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def codec_roundtrip(spark, sf_dir):
     return codec.decode_records(codec.encode_records(read(spark, sf_dir, DOCUMENTS), DOCUMENTS), DOCUMENTS).drop("_expires_at")
@@ -355,9 +386,9 @@ def printable_names(spark, sf_dir):
     return read(spark, sf_dir, NATION).select("n_nationkey", text.printable_column(F.to_binary("n_name", F.lit("utf-8"))).alias("printed"))
 
 
-@_query(None)
+@_query("SELECT depth, cell, count(*) AS n FROM (SELECT k AS depth, CAST(CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), CAST(1 + 4 * k AS BIGINT), 4) AS BIGINT) % 2048 AS INTEGER) AS cell FROM events, (SELECT CAST(unnest(range(4)) AS INTEGER) AS k) WHERE user_id IS NOT NULL) GROUP BY depth, cell")
 def cms_frequency(spark, sf_dir):
-    return read(spark, sf_dir, EVENTS).agg(sketch.frequency_sketch("user_id").alias("sketch"))
+    return sketch.cell_counts(read(spark, sf_dir, EVENTS), "user_id")
 
 
 # stores: the tables written, changed and read again

@@ -335,7 +335,7 @@ def _table(m: _Message, enums: set[str], table_id: int) -> TableSchema:
 
 
 class SchemaRegistry:
-    """Tables by name, id and key bytes; an import replaces tables of the same name in one step."""
+    """Tables by name, id and the bytes of a data or index key; an import replaces all tables in one step."""
 
     def __init__(self, tables: Iterable[TableSchema] = ()):
         self._tables = {t.name: t for t in tables}
@@ -363,6 +363,16 @@ class SchemaRegistry:
     def by_id(self, table_id: int) -> TableSchema | None:
         return next((t for t in self._tables.values() if t.table_id == table_id), None)
 
+    def by_key(self, key: bytes) -> TableSchema | None:
+        """The table of a data or index key; None for other bytes."""
+        from .errors import MalformedKey
+        from .functions import codec
+
+        try:
+            return self.by_id((codec.decode_index_key if key[:1] == b"\xff" else codec.decode_key)(key)[0])
+        except MalformedKey:
+            return None
+
     def describe(self, spark: SparkSession) -> DataFrame:
         """One row for each field: (table, table_id, field, number, type, pk, index, compress, repeated, ttl_ns)."""
         rows = [(t.name, t.table_id, f.name, f.number, f.type, f.name == t.primary_key, f.index, t.compressed(f), f.repeated, t.ttl_ns) for t in self.tables() for f in t.fields]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import EmptyKey
 from ..hotcache import HotCache
 from ..schema import TableSchema
+from ..streaming.ingest import IngestQueue
 from .store import RecordTable, Store
 
 KEYSPACE = TableSchema.declare("_keyspace", [("key", "bytes"), ("value", "bytes")], "key")
@@ -29,12 +31,32 @@ def in_prefix(prefix: bytes, key: str = "key") -> Column:
 
 
 class KeyValueStore:
-    """Point reads and writes, batches and ordered scans. Reads of hot keys are answered from memory."""
+    """Point reads and writes, batches and ordered scans. Reads of hot keys are answered from memory.
+
+    Single puts and deletes of concurrent callers go through a bounded queue, whose consumer commits them in groups of at
+    most Config.batch_size; each caller waits for its group. A full queue refuses the write.
+    """
 
     def __init__(self, store: Store):
         self.store, self.table = store, RecordTable(store, KEYSPACE)
         size = store.config.cache_bytes
         self.cache = HotCache(size or 10 << 20) if size >= 0 else None
+        self.queue: IngestQueue | None = None
+        self._starting = threading.Lock()
+        if self.cache is not None:
+            store.metrics.gauge("cache_bytes", lambda: self.cache.bytes)
+            store.metrics.gauge("cache_entries", self.cache.__len__)
+
+    def _queued(self, kind: str, key: bytes, value: bytes | None) -> None:
+        with self.store.metrics.timed(kind):
+            self.store.check_writable()
+            key = self._key(key)
+            with self._starting:
+                if self.queue is None:
+                    c = self.store.config
+                    self.queue = IngestQueue(self, c.queue_size, c.queue_bytes, c.batch_size, self.store.metrics)
+                    self.store.before_close(self.queue.stop)
+            self.queue.submit(kind, key, value)
 
     @staticmethod
     def _key(key: bytes) -> bytes:
@@ -43,12 +65,12 @@ class KeyValueStore:
         return bytes(key)
 
     def put(self, key: bytes, value: bytes) -> None:
-        self.write_batch([("put", key, value)])
+        self._queued("put", key, value)
 
     put_sync = put
 
     def delete(self, key: bytes) -> None:
-        self.write_batch([("delete", key, None)])
+        self._queued("delete", key, None)
 
     def write_batch(self, ops: Iterable[tuple[str, bytes, bytes | None]]) -> None:
         """All or nothing; an empty key aborts; the later operation on a key wins; the cache forgets after the commit."""
@@ -60,10 +82,19 @@ class KeyValueStore:
                 self.cache.delete(key)
 
     def get(self, key: bytes) -> bytes | None:
+        with self.store.metrics.timed("get") as told:
+            value = self._get(key)
+            told["result"] = "miss" if value is None else "hit"
+        return value
+
+    def _get(self, key: bytes) -> bytes | None:
         self.store.check_open()
         key = self._key(key)
-        if self.cache is not None and (hit := self.cache.get(key)) is not None:
-            return hit
+        if self.cache is not None:
+            hit = self.cache.get(key)
+            self.store.metrics.count("cache_requests_total", result="miss" if hit is None else "hit")
+            if hit is not None:
+                return hit
         row = self.table.query().where("key", "=", key).first()
         if row is None:
             return None

@@ -33,7 +33,7 @@ _MANIFEST = "manifest-{:012d}.json"
 
 @dataclass
 class Config:
-    """root is required. Durability is Parquet's and the file system's; batch_size is what group commit uses."""
+    """root is required. Durability is Parquet's and the file system's; the queue's sizes hold for raw writes in groups."""
 
     root: str
     metrics: bool = False
@@ -62,15 +62,22 @@ class Store:
         self.spark, self.config = spark, Config(config) if isinstance(config, str) else config
         self.files, self.read_only = Files(spark, self.config.root), read_only
         self.metrics = Metrics(self.config.metrics, self.config.namespace)
-        self._lock, self._closed = threading.RLock(), False
+        self._lock, self._closed, self._on_close = threading.RLock(), False, []
+        self.metrics.gauge("disk_usage_bytes", self.files.size)
         if not read_only:
             self.files.make()
 
     def close(self) -> None:
         """Once; a second close is an error."""
         self.check_open()
+        for end in self._on_close:
+            end()
         self._closed = True
 
+    def before_close(self, end: Callable[[], None]) -> None:
+        """Calls end when the store closes, while it still takes writes."""
+        self._on_close.append(end)
+
     def check_open(self) -> None:
         if self._closed:
             raise StoreClosed(self.config.root)
@@ -117,22 +124,24 @@ class Store:
 
     def write_batch(self, ops: Iterable[tuple[str, RecordTable, Any]]) -> int:
         """All of ("put", table, record) and ("delete", table, pk) or nothing; the later of two on one key wins."""
+        with self.metrics.timed("batch"):
+            return self._write_batch(ops)
+
+    def _write_batch(self, ops: Iterable[tuple[str, RecordTable, Any]]) -> int:
         self.check_writable()
         by_table: dict[str, tuple[RecordTable, list]] = {}
         for order, (kind, table, what) in enumerate(ops):
             if what is None:
                 raise EmptyKey(f"{table.schema.name}: nothing to {kind}")
             by_table.setdefault(table.schema.name, (table, []))[1].append(table._log_row(kind, what, order))
-        staged = [(t, *t._stage(self.spark.createDataFrame(rows, log_schema(t.schema)), 1), len(rows)) for t, rows in by_table.values()]
+        staged = [(t, t._stage(self.spark.createDataFrame(rows, log_schema(t.schema)), 1), len(rows)) for t, rows in by_table.values()]
 
         def publish(m: dict) -> None:
-            for t, path, n, _ in staged:
-                t._entry(m)["tail"].append({"path": path, "seq": m["seq"], "rows": n})
+            for t, part, _ in staged:
+                t._entry(m)["tail"].append({**part, "seq": m["seq"]})
             m["seq"] += max((n for *_, n in staged), default=0) + 1
 
-        version = self.commit(publish)
-        self.metrics.count("ops_total", op="batch", result="ok")
-        return version
+        return self.commit(publish)
 
     # whole-store operations
 
@@ -198,7 +207,9 @@ class RecordTable:
         base, tail = self._load(entry["base"]), self._load(entry["tail"])
         if base is None and tail is None:
             return self.spark.createDataFrame([], log_schema(self.schema))
-        return merge.merge(base, tail, self.schema.primary_key, sum(p["rows"] for p in entry["tail"]))
+        known = all("key_bytes" in p for p in entry["tail"])
+        tail_bytes = sum(p["key_bytes"] + merge.ROW_BYTES * p["rows"] for p in entry["tail"]) if known else None
+        return merge.merge(base, tail, self.schema.primary_key, tail_bytes)
 
     def query(self, version: int | None = None, now: int | None = None, compat: bool = False) -> Query:
         return Query(self.schema, self.stored(version), now=self.store.config.clock() if now is None else now, compat=compat)
@@ -207,8 +218,9 @@ class RecordTable:
         return self.query(version, now).exec()
 
     def get(self, pk: Any) -> Row | None:
-        row = self.query().where(self.schema.primary_key, "=", pk).first()
-        self.store.metrics.count("ops_total", op="get", result="hit" if row else "miss")
+        with self.store.metrics.timed("get") as told:
+            row = self.query().where(self.schema.primary_key, "=", pk).first()
+            told["result"] = "hit" if row else "miss"
         return row
 
     def index_entries(self, field: str) -> DataFrame:
@@ -226,23 +238,25 @@ class RecordTable:
         expires = self.store.config.clock() + s.ttl_ns if s.ttl_ns else 0
         return (order, merge.PUT, expires, *[got.get(f.name, _zero(f)) for f in s.fields])
 
-    def _stage(self, log: DataFrame, files: int | None = None) -> tuple[str, int]:
-        """Writes a segment that no manifest names yet; its path and rows."""
+    def _stage(self, log: DataFrame, files: int | None = None) -> dict:
+        """Writes a segment that no manifest names yet; its path, rows and the bytes of its keys."""
         self.store.check_writable()
         path = f"tables/{self.schema.name}/{uuid.uuid4().hex}"
         (log.coalesce(files) if files else log).write.option("compression", "zstd").parquet(self.store.files.path(path))
-        return path, self.spark.read.schema(log.schema).parquet(self.store.files.path(path)).count()
+        written, pk = self.spark.read.schema(log.schema).parquet(self.store.files.path(path)), self.schema.pk
+        width = F.lit(16) if pk.width else F.octet_length(pk.name)
+        size = written.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("key_bytes")).first()
+        return {"path": path, "rows": size["rows"], "key_bytes": size["key_bytes"]}
 
     def _append(self, log: DataFrame, kind: str) -> int:
-        path, rows = self._stage(log)
+        with self.store.metrics.timed(kind):
+            part = self._stage(log)
 
-        def publish(m: dict) -> None:
-            self._entry(m)["tail"].append({"path": path, "seq": m["seq"], "rows": rows})
-            m["seq"] += 1
+            def publish(m: dict) -> None:
+                self._entry(m)["tail"].append({**part, "seq": m["seq"]})
+                m["seq"] += 1
 
-        version = self.store.commit(publish)
-        self.store.metrics.count("ops_total", op=kind, result="ok")
-        return version
+            return self.store.commit(publish)
 
     def _as_log(self, df: DataFrame, op: int) -> DataFrame:
         s, now = self.schema, self.store.config.clock()
@@ -297,13 +311,13 @@ class RecordTable:
         pk = self.schema.primary_key
         whole = self.stored().withColumn(merge.SEQ, F.lit(0).cast("long"))
         dealt = whole.repartitionByRange(partitions, pk) if partitions else whole.repartitionByRange(pk)
-        path, rows = self._stage(dealt.sortWithinPartitions(pk))
+        part = self._stage(dealt.sortWithinPartitions(pk))
 
         def publish(m: dict) -> None:
             now = self._entry(m)
             if not folded <= {p["path"] for p in [*now["base"], *now["tail"]]}:
                 raise ConflictingCommit("another compaction came first")
-            now["base"], now["tail"] = [{"path": path, "seq": 0, "rows": rows}], [p for p in now["tail"] if p["path"] not in folded]
+            now["base"], now["tail"] = [{**part, "seq": 0}], [p for p in now["tail"] if p["path"] not in folded]
 
         return self.store.commit(publish)
 
