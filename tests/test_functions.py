@@ -10,11 +10,11 @@ from keelson.metrics import Metrics, bucket_counts
 from keelson.operators import inspect
 from keelson.schema import SchemaRegistry, TableSchema
 
-from .schemas import SESSION, TEXT, USER
+from .schemas import PARCEL, PROBE, TEXT, parcel, parcels
 
 POINT = TableSchema.declare("Point", [("x", "double"), ("y", "double"), ("z", "float")], "x")
 WIDE = TableSchema.declare("Wide", [("id", "uint64"), ("a", "int32"), ("b", "uint32"), ("c", "bool"), ("d", "bytes"), ("e", "sint64")], "id")
-RECORD = {"id": 7, "name": "legacy", "email": "legacy@t.com", "created_at": 12345, "active": True, "bio": "short-bio"}
+RECORD = parcel(7, depot="harbour", remarks="keep dry", label="H/7", fragile=True)
 
 
 @pytest.mark.parametrize("table_id", [0, 1, 42, 7, 2**63 - 1])
@@ -35,50 +35,51 @@ def test_index_keys():
 
 
 def test_record_layout():
-    data = codec.encode_record(USER, RECORD, pad=True)
-    assert len(data) == 64 == codec.size_bound(USER, RECORD) and codec.encode_record(USER, RECORD) == data[:60] and data[:8] == (7).to_bytes(8, "little")
-    assert codec.decode_record(USER, data + b"\0" * 9) == (0, RECORD)  # padding may follow
+    data, n = codec.encode_record(PARCEL, RECORD, pad=True), (7).to_bytes(4, "little")
+    plain = n + bytes(4) + n + b"harbour" + b"\0\0\0\0\0\0\x0c\x40" + (8).to_bytes(4, "little") * 2 + b"keep dry" + (3).to_bytes(4, "little") + b"H/7" + n + b"\1"
+    assert codec.encode_record(PARCEL, RECORD) == plain and data.startswith(plain) and len(data) == codec.size_bound(PARCEL, RECORD) and not any(data[len(plain) :])
+    assert codec.decode_record(PARCEL, data + b"\0" * 9) == (0, RECORD)  # padding may follow
     assert len(codec.encode_record(POINT, {"x": 1.0, "y": 2.0, "z": 3.0})) == 20
-    long = RECORD | {"bio": "many words éü " * 100}
-    packed = codec.encode_record(USER, long)
-    assert len(packed) < 300 < codec.size_bound(USER, long) and codec.decode_record(USER, packed)[1] == long
-    session = {"id": 1, "token": "t", "user_id": "u", "active": False, "kind": 2, "tags": ["a", "bb"]}
-    assert codec.encode_record(SESSION, session)[:8] == bytes(8) and codec.decode_record(SESSION, codec.encode_record(SESSION, session, 99)) == (99, session)
+    long = RECORD | {"remarks": "many words éü " * 100}
+    packed = codec.encode_record(PARCEL, long)
+    assert len(packed) < 300 < codec.size_bound(PARCEL, long) and codec.decode_record(PARCEL, packed)[1] == long
+    probe = {"tag": "p1", "reading": -9, "raw": b"\0x", "mode": 2, "history": [0.5, -1.0]}
+    assert codec.encode_record(PROBE, probe)[:8] == bytes(8) and codec.decode_record(PROBE, codec.encode_record(PROBE, probe, 99)) == (99, probe)
     wide = {"id": Decimal(2**64 - 1), "a": -5, "b": 2**32 - 1, "c": True, "d": b"\x00\x01", "e": -(2**63)}
     assert codec.decode_record(WIDE, codec.encode_record(WIDE, wide))[1] == wide
 
 
 def test_damaged_records():
-    data = codec.encode_record(USER, RECORD)
+    data = codec.encode_record(PARCEL, RECORD)
     for n in (0, 3, 20, len(data) - 1):
         with pytest.raises(MalformedValue):
-            codec.decode_record(USER, data[:n])
-    assert [f[0] for f in codec.decode_fields(USER, data[:30])[1]] == ["id", "name"]
+            codec.decode_record(PARCEL, data[:n])
+    assert [f[0] for f in codec.decode_fields(PARCEL, data[:30])[1]] == ["no", "depot", "weight"]
 
 
 def test_columns_agree(spark):
-    df = spark.createDataFrame([tuple(RECORD.values()), (-1, "é", "", -2, False, "b" * 999)], USER.spark)
-    got = df.select("id", codec.encode_key_column(USER).alias("k"), codec.encode_index_key_column(USER, "created_at").alias("i"), codec.encode_index_key_column(USER, "email").alias("e"), codec.size_column(USER).alias("n")).collect()
+    df = parcels(spark, RECORD, parcel(-1, depot="é", label="", stops=2**32 - 1, remarks="b" * 999))
+    got = df.select("no", codec.encode_key_column(PARCEL).alias("k"), codec.encode_index_key_column(PARCEL, "stops").alias("i"), codec.encode_index_key_column(PARCEL, "label").alias("e"), codec.size_column(PARCEL).alias("n")).collect()
     for r, row in zip(got, df.collect(), strict=True):
-        pk = codec.key_part(USER.pk, row["id"])
-        assert bytes(r["k"]) == codec.encode_key(1, pk) and bytes(r["i"]) == codec.encode_index_key(1, 4, codec.key_part(USER.field("created_at"), row["created_at"]), pk)
-        assert bytes(r["e"]) == codec.encode_index_key(1, 3, row["email"].encode(), pk) and r["n"] == codec.size_bound(USER, row.asDict())
+        pk = codec.key_part(PARCEL.pk, row["no"])
+        assert bytes(r["k"]) == codec.encode_key(1, pk) and bytes(r["i"]) == codec.encode_index_key(1, 7, codec.key_part(PARCEL.field("stops"), row["stops"]), pk)
+        assert bytes(r["e"]) == codec.encode_index_key(1, 6, row["label"].encode(), pk) and r["n"] == codec.size_bound(PARCEL, row.asDict())
     big = spark.createDataFrame([(Decimal(2**64 - 2),)], "id decimal(20,0)")
     assert bytes(big.select(codec.encode_key_column(WIDE)).first()[0]) == codec.encode_key(1, (2**64 - 2).to_bytes(8, "little"))
-    kv = codec.encode_records(df, USER)
+    kv = codec.encode_records(df, PARCEL)
     damaged = kv.union(spark.createDataFrame([(bytearray(b"k"), bytearray(b"zz")), (bytearray(b"k"), None)], kv.schema))
-    assert sorted(codec.decode_records(damaged, USER).drop("_expires_at").collect()) == sorted(df.collect())
-    z = df.select(codec.decompress_column(codec.compress_column(F.to_binary("bio", F.lit("utf-8")))).cast("string").alias("bio"), "id")
-    assert {r["bio"] for r in z.collect()} == {"short-bio", "b" * 999}
+    assert sorted(codec.decode_records(damaged, PARCEL).drop("_expires_at").collect()) == sorted(df.collect())
+    z = df.select(codec.decompress_column(codec.compress_column(F.to_binary("remarks", F.lit("utf-8")))).cast("string").alias("remarks"), "no")
+    assert {r["remarks"] for r in z.collect()} == {"keep dry", "b" * 999}
 
 
 def test_describe_keys():
     reg = SchemaRegistry()
     reg.import_proto(TEXT)
     d = lambda k: codec.describe_key(reg, k)
-    assert d(codec.encode_key(1, (5).to_bytes(8, "little"))) == {"kind": "data", "table": "User", "pk": "5", "field": None, "value": None}
-    assert d(codec.encode_index_key(1, 4, (9).to_bytes(8, "little"), (5).to_bytes(8, "little")))["value"] == "9"
-    assert d(codec.encode_index_key(1, 3, b"a@b", (5).to_bytes(8, "little"))) == {"kind": "index", "table": "User", "pk": "5", "field": "email", "value": "a@b"}
+    assert d(codec.encode_key(1, (5).to_bytes(8, "little"))) == {"kind": "data", "table": "Parcel", "pk": "5", "field": None, "value": None}
+    assert d(codec.encode_index_key(1, 7, (9).to_bytes(4, "little"), (5).to_bytes(8, "little")))["value"] == "9"
+    assert d(codec.encode_index_key(1, 6, b"L-5", (5).to_bytes(8, "little"))) == {"kind": "index", "table": "Parcel", "pk": "5", "field": "label", "value": "L-5"}
     assert d(codec.encode_index_key(9, 3, b"a"))["kind"] == "index" and d(b"\x09x")["kind"] == "unknown" and d(b"")["kind"] == "unknown"
     assert d(codec.encode_key(1, b"\x01"))["pk"] == "\\x01"
 
@@ -97,19 +98,19 @@ def test_text_columns(spark):
 def test_views(spark):
     reg = SchemaRegistry()
     reg.import_proto(TEXT)
-    users = spark.createDataFrame([(i, f"n{i}", f"m{i}", i, True, "b") for i in range(5)], USER.spark)
-    kv = codec.encode_records(users, USER)
+    lots = parcels(spark, *[parcel(i) for i in range(5)])
+    kv = codec.encode_records(lots, PARCEL)
     view, cursor = inspect.entries(kv, reg, b"\x01", limit=3)
     assert [r["decoded"]["pk"] for r in view.collect()] == ["0", "1", "2"] and cursor
     view, cursor = inspect.entries(kv, reg, b"\x01", cursor, 3)
     assert [r["decoded"]["pk"] for r in view.collect()] == ["3", "4"] and cursor is None
     point = inspect.point_view(kv, reg, codec.encode_key(1, (2).to_bytes(8, "little")))
-    assert ("name", "string", "n2") in point["fields"] and not point["truncated"] and not point["expired"]
+    assert ("label", "string", "L2") in point["fields"] and not point["truncated"] and not point["expired"]
     with pytest.raises(NotFound):
         inspect.point_view(kv, reg, b"nope")
-    assert [r["id"] for r in inspect.sorted_view(users, USER, 3, 10).collect()] == [3, 4]
-    entry = spark.createDataFrame([(bytearray(codec.encode_index_key(1, 3, b"m2")), bytearray((2).to_bytes(8, "little")))], kv.schema)
-    assert inspect.point_view(entry, reg, codec.encode_index_key(1, 3, b"m2"))["decoded"]["pk"] == "2"
+    assert [r["no"] for r in inspect.sorted_view(lots, PARCEL, 3, 10).collect()] == [3, 4]
+    entry = spark.createDataFrame([(bytearray(codec.encode_index_key(1, 6, b"L2")), bytearray((2).to_bytes(8, "little")))], kv.schema)
+    assert inspect.point_view(entry, reg, codec.encode_index_key(1, 6, b"L2"))["decoded"]["pk"] == "2"
 
 
 def test_folder_stats(spark, tmp_path):

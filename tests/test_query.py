@@ -8,75 +8,73 @@ from keelson.operators import indexes, paging
 from keelson.operators.query import Query, next_cursor
 from keelson.schema import TableSchema
 
-from .schemas import USER
+from .schemas import PARCEL, PROBE, parcel, parcels
 
 
 @pytest.fixture(scope="module")
-def users(spark):
-    rows = [(i, n, f"u{i}@test.com", 1000 + i, i % 2 == 0, "bio") for i, n in enumerate(["Alice", "Bob", "Alicia", "Carol", "Dave", "Eve"], 1)]
-    return Query(USER, spark.createDataFrame(rows, USER.spark))
+def lots(spark):
+    depots = ["Aalen", "Bonn", "Aalborg", "Celle", "Delft", "Emden"]
+    return Query(PARCEL, parcels(spark, *[parcel(i, depot=d, stops=1000 + i) for i, d in enumerate(depots, 1)]))
 
 
 def ids(q):
-    return [r["id"] for r in q.exec().orderBy("id").collect()]
+    return [r[q.table.primary_key] for r in q.exec().orderBy(q.table.primary_key).collect()]
 
 
-def test_builder(users):
-    assert ids(users) == [1, 2, 3, 4, 5, 6] and users.count() == 6
-    assert ids(users.limit(1)) == [1] and users.limit(4).count() == 4 and users.limit(-1).count() == 6
-    assert users.first()["id"] == 1 and users.where("name", "=", "Zoe").first() is None
-    assert users.predicates == ()  # the builder does not change
+def test_builder(lots):
+    assert ids(lots) == [1, 2, 3, 4, 5, 6] and lots.count() == 6
+    assert ids(lots.limit(1)) == [1] and lots.limit(4).count() == 4 and lots.limit(-1).count() == 6
+    assert lots.first()["no"] == 1 and lots.where("depot", "=", "Zwolle").first() is None
+    assert lots.predicates == ()  # the builder does not change
 
 
 @pytest.mark.parametrize(
     "field,op,value,found",
     [
-        ("email", "=", "u3@test.com", [3]), ("email", "!=", "u3@test.com", [1, 2, 4, 5, 6]), ("created_at", ">", 1004, [5, 6]), ("created_at", "<", 1002, [1]), ("created_at", ">=", 1005, [5, 6]),
-        ("created_at", "<=", 1001, [1]), ("name", "LIKE", "Ali", [1, 3]), ("name", "LIKE", "ali", []), ("name", "LIKE", "%", []), ("active", "=", True, [2, 4, 6]), ("active", "!=", True, [1, 3, 5]), ("id", ">", 4, [5, 6]), ("name", "PREFIX", "A", [1, 3]),
+        ("label", "=", "L3", [3]), ("label", "!=", "L3", [1, 2, 4, 5, 6]), ("weight", ">", 2.0, [5, 6]), ("stops", "<", 1002, [1]), ("weight", ">=", 2.5, [5, 6]), ("stops", ">", 1004, [5, 6]),
+        ("stops", "<=", 1001, [1]), ("depot", "LIKE", "Aal", [1, 3]), ("depot", "LIKE", "aal", []), ("depot", "LIKE", "%", []), ("fragile", "=", True, [2, 4, 6]), ("fragile", "!=", True, [1, 3, 5]), ("no", ">", 4, [5, 6]), ("depot", "PREFIX", "A", [1, 3]),
     ],
 )
-def test_predicates(users, field, op, value, found):
-    assert ids(users.where(field, op, value)) == found
+def test_predicates(lots, field, op, value, found):
+    assert ids(lots.where(field, op, value)) == found
 
 
-def test_conjunction_and_field_methods(users):
-    assert ids(users.where_created_at("=", 1002).where_active("=", True)) == [2]
-    assert ids(users.where_created_at(">", 1002).where_created_at(">", 1004)) == [5, 6]
-    assert ids(users.where_prefix("email", "u1")) == [1]
+def test_conjunction_and_field_methods(lots):
+    assert ids(lots.where_stops("=", 1002).where_fragile("=", True)) == [2]
+    assert ids(lots.where_stops(">", 1002).where_stops(">", 1004)) == [5, 6]
+    assert ids(lots.where_prefix("label", "L1")) == [1]
     with pytest.raises(AttributeError):
-        users.where_nothing("=", 1)
+        lots.where_nothing("=", 1)
 
 
-@pytest.mark.parametrize("field,op", [("name", ">"), ("active", "<"), ("name", "like"), ("created_at", "LIKE"), ("name", "NOT LIKE"), ("id", "LIKE")])
-def test_unsupported(users, field, op):
+@pytest.mark.parametrize("field,op", [("depot", ">"), ("fragile", "<"), ("label", "like"), ("stops", "LIKE"), ("depot", "NOT LIKE"), ("no", "LIKE")])
+def test_unsupported(lots, field, op):
     with pytest.raises(UnsupportedOperator):
-        users.where(field, op, "x")
+        lots.where(field, op, "x")
 
 
-def test_unknown_field(users):
+def test_unknown_field(lots):
     with pytest.raises(UnknownField):
-        users.where("nope", "=", 1)
+        lots.where("nope", "=", 1)
 
 
 def test_repeated_takes_no_predicate(spark):
-    from .schemas import SESSION
-
-    q = Query(SESSION, spark.createDataFrame([], SESSION.spark))
+    q = Query(PROBE, spark.createDataFrame([], PROBE.spark))
     with pytest.raises(UnknownField):
-        q.where("tags", "=", "x")
+        q.where("history", "=", 1.0)
 
 
-def test_compat(users):
+def test_compat(lots):
     from dataclasses import replace
 
-    q = replace(users, compat=True)
-    assert ids(q.where("created_at", ">", 1002).where("created_at", ">", 1004)) == [3, 4, 5, 6]  # the first value counts
-    assert ids(q.where("name", ">", "A")) == [] and ids(q.where("name", "like", "A")) == []
-    assert ids(q.where("name", "NOT LIKE", "A")) == [1, 2, 3, 4, 5, 6]
-    assert ids(q.where("email", "=", "u")) == [1, 2, 3, 4, 5, 6]  # the first index matches prefixes
-    assert ids(q.where("active", "=", True).where("email", "=", "u")) == []
+    q = replace(lots, compat=True)
+    assert ids(q.where("stops", ">", 1002).where("stops", ">", 1004)) == [3, 4, 5, 6]  # the first value counts
+    assert ids(q.where("label", ">", "A")) == [] and ids(q.where("label", "like", "L")) == []
+    assert ids(q.where("label", "NOT LIKE", "L")) == [1, 2, 3, 4, 5, 6]
+    assert ids(q.where("depot", "=", "A")) == [1, 3]  # the first index matches prefixes
+    assert ids(q.where("fragile", "=", True).where("depot", "=", "A")) == []
     with pytest.raises(UnknownField):
-        q.where("id", "=", 1)
+        q.where("no", "=", 1)
 
 
 def test_nan(spark):
@@ -94,22 +92,25 @@ def test_unsigned_64(spark):
     assert ids(Query(t, df).where("u", ">", 2**63)) == [1] and ids(Query(t, df).where("u", "=", 2**64 - 1)) == [1]
 
 
-def test_pages(users):
-    seen = [[r["id"] for r in p] for p in users.pages(4)]
+def test_pages(lots):
+    seen = [[r["no"] for r in p] for p in lots.pages(4)]
     assert seen == [[1, 2, 3, 4], [5, 6]]
-    rows = users.limit(2).exec().collect()
-    assert next_cursor(rows, USER) == 2 and ids(users.after(2).limit(2)) == [3, 4] and ids(users.after(99)) == [] and next_cursor([], USER) is None
-    assert ids(users.after(0)) == [1, 2, 3, 4, 5, 6] and users.after(4).count() == 2
+    rows = lots.limit(2).exec().collect()
+    assert next_cursor(rows, PARCEL) == 2 and ids(lots.after(2).limit(2)) == [3, 4] and ids(lots.after(99)) == [] and next_cursor([], PARCEL) is None
+    assert ids(lots.after(0)) == [1, 2, 3, 4, 5, 6] and lots.after(4).count() == 2
 
 
-def test_paging_operators(spark, users):
-    df = users.exec()
-    assert [r["id"] for r in paging.offset_page(df, "id", 4, 5).collect()] == [5, 6]
-    assert paging.before(df, "id", 3).first()["id"] == 2 and paging.before(df, "id", 1).first() is None
+def test_paging_operators(spark, lots):
+    df = lots.exec()
+    assert [r["no"] for r in paging.offset_page(df, "no", 4, 5).collect()] == [5, 6]
+    assert paging.before(df, "no", 3).first()["no"] == 2 and paging.before(df, "no", 1).first() is None
+    assert [r["no"] for r in paging.index_page(df, "depot", "no", 3).collect()] == [3, 1, 2]
     assert paging.scan_guard(df, 5).first().asDict() == {"total": 5, "truncated": True} and paging.scan_guard(df, 6).first().asDict() == {"total": 6, "truncated": False}
     assert [paging.clamp_limit(x) for x in (None, "x", "0", "7", 9999)] == [50, 50, 1, 7, 500]
     numbers = spark.createDataFrame([(n,) for n in (-100, -1, 0, 1, 2, 255, 256, 257, 65536)], "n long")
     assert [r["n"] for r in numbers.orderBy(*paging.physical_order(F.col("n"))).collect()] == [0, 65536, 256, 1, 257, 2, -100, 255, -1]
+    placed = {r["position"]: r["n"] for r in paging.physical_positions(numbers, "n").collect()}
+    assert [placed[i] for i in range(1, 10)] == [0, 65536, 256, 1, 257, 2, -100, 255, -1]
 
 
 def test_plan_pushes_filters_and_prunes(spark, small):
@@ -119,12 +120,12 @@ def test_plan_pushes_filters_and_prunes(spark, small):
     assert "EqualTo(o_custkey,7)" in plan and "GreaterThanOrEqual(o_totalprice,5.0)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in plan and "Exchange" not in plan
 
 
-def test_indexes(spark, users, tmp_path):
-    df = users.exec()
-    entries = indexes.index_entries(df, "id", "created_at").union(spark.createDataFrame([("created_at", "1003", 77)], "a string, b string, c long"))
-    assert [r["id"] for r in indexes.fetch_by_index(df, entries, "id", 1003).collect()] == [3]  # the dangling entry finds nothing
-    assert indexes.violations(df, USER).count() == 0
-    twice = df.union(df.where("id = 1"))
-    assert {(r["field"], r["value"]) for r in indexes.violations(twice, USER).collect()} == {("id", "1"), ("email", "u1@test.com")}
-    indexes.write_index(df, "id", "email", str(tmp_path / "i"), 2)
-    assert spark.read.parquet(str(tmp_path / "i")).where("email = 'u2@test.com'").first()["id"] == 2
+def test_indexes(spark, lots, tmp_path):
+    df = lots.exec()
+    entries = indexes.index_entries(df, "no", "stops").union(spark.createDataFrame([("stops", "1003", 77)], "a string, b string, c long"))
+    assert [r["no"] for r in indexes.fetch_by_index(df, entries, "no", 1003).collect()] == [3]  # the dangling entry finds nothing
+    assert indexes.violations(df, PARCEL).count() == 0
+    twice = df.union(df.where("no = 1"))
+    assert {(r["field"], r["value"]) for r in indexes.violations(twice, PARCEL).collect()} == {("no", "1"), ("label", "L1")}
+    indexes.write_index(df, "no", "label", str(tmp_path / "i"), 2)
+    assert spark.read.parquet(str(tmp_path / "i")).where("label = 'L2'").first()["no"] == 2

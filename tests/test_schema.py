@@ -4,19 +4,19 @@ from pyspark.sql import types as T
 from keelson.errors import SchemaError, UnknownField
 from keelson.schema import SECOND, FieldSchema, SchemaRegistry, TableSchema, lower_first, parse_proto, parse_ttl, pascal_name, uvarint
 
-from .schemas import SESSION, TEXT, USER
+from .schemas import PARCEL, PROBE, TEXT
 
 
 def test_tables_and_ids():
-    assert [(t.name, t.table_id, t.primary_key) for t in (USER, SESSION)] == [("User", 1, "id"), ("Session", 2, "id")]
-    assert [f.index for f in USER.fields] == ["none", "none", "unique", "normal", "none", "none"]
-    assert USER.compressed(USER.field("bio")) and not USER.compressed(USER.field("name"))
-    assert SESSION.ttl_ns == SECOND and SESSION.compress_threshold == 10 and USER.ttl_ns == 0
-    assert SESSION.field("kind").type == "enum" and SESSION.field("tags").spark == T.ArrayType(T.StringType(), False)
+    assert [(t.name, t.table_id, t.primary_key) for t in (PARCEL, PROBE)] == [("Parcel", 1, "no"), ("Probe", 2, "tag")]
+    assert [f.index for f in PARCEL.fields] == ["none", "normal", "none", "none", "unique", "normal", "none"]
+    assert PARCEL.compressed(PARCEL.field("remarks")) and not PARCEL.compressed(PARCEL.field("label"))
+    assert PROBE.ttl_ns == 90 * SECOND and PROBE.compress_threshold == 10 and PARCEL.ttl_ns == 0
+    assert PROBE.field("mode").type == "enum" and PROBE.field("history").spark == T.ArrayType(T.DoubleType(), False)
 
 
 def test_ids_run_over_files():
-    again = TEXT.replace("User", "Person").replace("Session", "Visit")
+    again = TEXT.replace("Parcel", "Crate").replace("Probe", "Meter")
     assert [t.table_id for t in parse_proto(TEXT, again)] == [1, 2, 3, 4]
 
 
@@ -62,17 +62,18 @@ def test_table_ids_that_read_as_index_keys():
 
 
 def test_names_and_numbers():
-    assert (pascal_name("created_at"), lower_first("User")) == ("CreatedAt", "user")
+    assert (pascal_name("created_at"), lower_first("Parcel")) == ("CreatedAt", "parcel")
     assert [uvarint(n) for n in (0, 1, 127, 128, 300)] == [b"\0", b"\1", b"\x7f", b"\x80\1", b"\xac\2"]
     with pytest.raises(UnknownField):
-        USER.field("nope")
+        PARCEL.field("nope")
 
 
 def test_registry(spark):
     r = SchemaRegistry()
     r.import_proto(TEXT)
-    assert r.by_id(2).name == "Session" and r.by_name("User").table_id == 1 and r.by_id(9) is None
-    rows = r.describe(spark).where("table = 'User' AND compress").collect()
-    assert [x["field"] for x in rows] == ["bio"]
+    assert r.by_id(2).name == "Probe" and r.by_name("Parcel").table_id == 1 and r.by_id(9) is None
+    assert r.by_key(b"\x01abc").name == "Parcel" and r.by_key(b"\xff\x02\x02v").name == "Probe" and r.by_key(b"\x09x") is r.by_key(b"") is r.by_key(b"\xff") is None
+    rows = r.describe(spark).where("table = 'Parcel' AND compress").collect()
+    assert [x["field"] for x in rows] == ["remarks"]
     r.clear()
     assert r.tables() == []

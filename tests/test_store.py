@@ -12,7 +12,7 @@ from keelson.sources.memory import MemoryTable
 from keelson.sources.store import Config, Store
 from keelson.streaming.ingest import IngestQueue, stream_into
 
-from .schemas import SESSION, USER
+from .schemas import PARCEL, PROBE, parcel, parcels
 
 ITEM = TableSchema.declare("item", [("id", "int64"), ("name", "string")], "id")
 LASTING = TableSchema.declare("lasting", [("id", "int64"), ("name", "string")], "id", ttl_ns=SECOND)
@@ -44,12 +44,12 @@ def names(table, **more):
 
 
 def test_crud(spark, store):
-    t = store.table(USER)
-    user = {"id": 1, "name": "Alice", "email": "a@t.com", "created_at": 5, "active": True, "bio": "x" * 1000}
-    t.put(user)
-    assert t.get(1).asDict() == user and t.get(999) is None
-    t.put(user | {"name": "Alicia", "email": "b@t.com"})
-    assert t.get(1)["name"] == "Alicia" and t.query().where("email", "=", "a@t.com").count() == 0  # no stale entry
+    t = store.table(PARCEL)
+    first = parcel(1, remarks="x" * 1000)
+    t.put(first)
+    assert t.get(1).asDict() == first and t.get(999) is None
+    t.put(first | {"depot": "south", "label": "S1"})
+    assert t.get(1)["depot"] == "south" and t.query().where("label", "=", "L1").count() == 0  # no stale entry
     t.remove(1)
     t.remove(1)
     assert t.get(1) is None and t.read().count() == 0
@@ -81,17 +81,16 @@ def test_frames_strict_and_compaction(spark, store):
 
 
 def test_unique_strict(spark, store):
-    t = store.table(USER)
-    row = lambda i, mail: (i, "n", mail, 1, True, "b")
-    t.create(spark.createDataFrame([row(1, "m")], USER.spark), strict=True)
+    t = store.table(PARCEL)
+    t.create(parcels(spark, parcel(1, label="same")), strict=True)
     with pytest.raises(DuplicateKey):
-        t.create(spark.createDataFrame([row(2, "m")], USER.spark), strict=True)
+        t.create(parcels(spark, parcel(2, label="same")), strict=True)
 
 
 def test_batch_is_atomic_and_ordered(spark, store):
-    a, b = store.table(ITEM), store.table(USER)
-    store.write_batch([("put", a, {"id": 1, "name": "x"}), ("put", a, {"id": 1, "name": "y"}), ("put", a, {"id": 2, "name": "z"}), ("delete", a, 2), ("put", b, {"id": 5})])
-    assert names(a) == {1: "y"} and b.get(5)["name"] == ""  # missing fields are zero
+    a, b = store.table(ITEM), store.table(PARCEL)
+    store.write_batch([("put", a, {"id": 1, "name": "x"}), ("put", a, {"id": 1, "name": "y"}), ("put", a, {"id": 2, "name": "z"}), ("delete", a, 2), ("put", b, {"no": 5})])
+    assert names(a) == {1: "y"} and b.get(5)["depot"] == ""  # missing fields are zero
     v = store.manifest()["version"]
     with pytest.raises(EmptyKey):
         store.write_batch([("put", a, {"id": 8, "name": "q"}), ("put", a, {"name": "no key"})])
@@ -261,9 +260,56 @@ def test_stream_into(spark, store, tmp_path):
     assert names(t) == {1: "a", 2: "B"} and store.manifest()["version"] == 2
 
 
-def test_session_table(spark, store, clock):
-    t = store.table(SESSION)
-    t.put({"id": 1, "token": "t", "user_id": "u", "active": True, "kind": 1, "tags": ["x", "y"]})
-    assert t.get(1)["tags"] == ["x", "y"] and t.index_entries("user_id").first()["index_value"] == "u"
-    clock.now += 2 * SECOND
-    assert t.index_entries("user_id").count() == 0 and t.stored().select(F.col("id")).count() == 1
+def test_rows_that_expire(spark, store, clock):
+    t = store.table(PROBE)
+    t.put({"tag": "p1", "reading": -4, "raw": b"xy", "mode": 2, "history": [0.5, 2.0]})
+    assert t.get("p1")["history"] == [0.5, 2.0] and t.index_entries("reading").first()["index_value"] == "-4"
+    clock.now += 91 * SECOND
+    assert t.index_entries("reading").count() == 0 and t.stored().select(F.col("tag")).count() == 1
+
+
+def test_reads_with_a_tail_push_keys_and_measure_broadcasts(spark, store):
+    t = store.table(ITEM)
+    t.create(items(spark, *[(i, str(i)) for i in range(50)]))
+    t.compact()
+    t.update(items(spark, (7, "seven")))
+    plan = lambda: t.query().where("id", "=", 7).exec()._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan().splitlines() if "PushedFilters" in line]
+    assert len(scans) == 3 and all("EqualTo(id,7)" in line for line in scans) and "BroadcastHashJoin" in plan() and t.get(7)["name"] == "seven"
+    word = TableSchema.declare("word", [("w", "string"), ("n", "int64")], "w")
+    w = store.table(word)
+    w.create(spark.createDataFrame([("a" * 100, 1)], "w string, n long"))
+    assert store.manifest()["tables"]["word"]["tail"][0]["key_bytes"] == 100
+
+
+def test_metrics_of_a_store(spark, store):
+    kv = KeyValueStore(store)
+    kv.put(b"k", b"v")
+    for _ in range(3):
+        assert kv.get(b"k") == b"v"
+    kv.delete(b"k")
+    assert kv.get(b"k") is None
+    t = store.table(ITEM)
+    t.create(items(spark, (1, "a")))
+    t.get(1)
+    kv.queue._max_bytes = 0
+    with pytest.raises(QueueOverMemory):
+        kv.put(b"x", b"y")
+    store.close()
+    out = store.metrics.exposition()
+    for series in (
+        'ops_total{op="put",result="ok"} 1', 'ops_total{op="put",result="error"} 1', 'ops_total{op="delete",result="ok"} 1', 'ops_total{op="get",result="hit"} 4', 'ops_total{op="get",result="miss"} 1', 'ops_total{op="create",result="ok"} 1', 'ops_total{op="batch",result="ok"} 2',
+        'op_duration_seconds_count{op="get"} 5', 'op_duration_seconds_bucket{op="put",le="+Inf"} 2', 'cache_requests_total{result="hit"} 1', 'cache_requests_total{result="miss"} 3', "write_throttled_total 1", "writebatch_ops_count 2", "queue_depth 0", "queue_bytes 0", "cache_bytes ", "cache_entries 0", "disk_usage_bytes ",
+    ):
+        assert f"keelson_{series}" in out, series
+    with pytest.raises(StoreClosed):
+        kv.put(b"late", b"y")
+
+
+def test_concurrent_puts_share_commits(store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    kv = KeyValueStore(store)
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda i: kv.put(b"k%02d" % i, b"v"), range(40)))
+    assert kv.scan(b"k").count() == 40 and store.manifest()["version"] < 20
