@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialize, scratch_path, small_side
+from .common import exists, materialize, scratch_path, small_side
 
 _ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -38,9 +38,16 @@ def _last(doc_id: str, at: str) -> Column:
     return F.max(F.struct(F.col(doc_id).alias("doc_id"), F.col(at).alias("at")))
 
 
+def _pattern(path: str) -> str:
+    """The path as a pattern that it alone fits: a stream reads a pattern's file, but no plain path to a file."""
+    path = path.rstrip("/")
+    at = max(i for i, c in enumerate(path) if c.isalnum())
+    return f"{path[:at]}[{path[at]}]{path[at + 1 :]}"
+
+
 def digest_state(spark: SparkSession, path: str, schema: StructType, digest, checkpoint: str, files: int) -> DataFrame:
     """(digest, bytes, n, keep{doc_id, at}) after all files that stand in path; a second call with the checkpoint goes on from there."""
-    read = _rows(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]"), digest)  # as a pattern, path may be a file too
+    read = _rows(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(_pattern(path)), digest)
     state = read.groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("n"), _last("doc_id", "at").alias("keep"))
     out = f"{checkpoint}-updates"
 
@@ -56,12 +63,9 @@ def digest_state(spark: SparkSession, path: str, schema: StructType, digest, che
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    try:
-        updates = spark.read.schema(state.schema).parquet(out)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not exists(spark, out):
         return spark.createDataFrame([], state.schema)  # no file, no batch
+    updates = spark.read.schema(state.schema).parquet(out)
     return materialize(updates.groupBy("digest", "bytes").agg(F.max("n").alias("n"), F.max("keep").alias("keep")), "state")
 
 

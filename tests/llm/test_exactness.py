@@ -401,7 +401,7 @@ def plain_dups(rows):
 
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact(spark, docs, tmp_path, weak):
-    path = str(tmp_path / "d.parquet")
+    path = str(tmp_path / "d.parquet") + "/" * weak
     docs.write.parquet(path)
     digest = (lambda t: F.length(t).cast("string")) if weak else (lambda t: F.sha2(t, 256))
     got = exact_dedup.exact_duplicates(spark, path, digest, files=1).cache()
@@ -410,6 +410,10 @@ def test_exact(spark, docs, tmp_path, weak):
     assert kept.count() == len({t or "" for _, t in AWKWARD}) and kept.where("NOT doc_id <=> keep_id").count() == 0
 
 
+def test_exact_path_patterns():
+    assert [exact_dedup._pattern(p) for p in ("/a/b.parquet", "/a/b/", "/a/b_-/")] == ["/a/b.parque[t]", "/a/[b]", "/a/[b]_-"]
+
+
 def test_exact_goes_on(spark, tmp_path):
     path, cp = str(tmp_path / "d.parquet"), str(tmp_path / "cp")
     df = lambda *r: spark.createDataFrame(list(r), DOCS)

@@ -61,5 +61,26 @@ def test_pipeline(spark, tmp_path):
     assert docs.columns == [*COLUMNS, "rate", "copies"] and docs.where("copies < 1").count() == 0
 
 
+def test_stages_meet_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties and repeated rows, an empty table, columns that clash."""
+    rows = [(1, None, None, None, None), (2, "", "aa", "s", 0), (None, "words of no id " * 9, None, "s", 1), (3, "the same text " * 20, "aa", None, 280), (3, "the same text " * 20, "aa", None, 280), (4, "long " * 60_000, "bb", "s", 300_000), (5, "\n\n \t", "aa", "s", 4)]
+    more = ", _row int, row string, pid long, rate double, copies int, score double, y int"
+    kinds = "doc_id long, text string, lang string, source string, n_chars long" + more
+    start = spark.createDataFrame([(*r, 1, "r", 2, 0.5, 3, 0.1, 1) for r in rows], kinds)
+    start.write.parquet(str(tmp_path / "start"))
+    for docs in (spark.read.parquet(str(tmp_path / "start")), start, start.limit(0)):
+        empty = docs.isEmpty()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SMALL)
+            assert out.columns == docs.columns + (["rate_", "copies_"] if name == "mixing" else [])
+            got = [(r["doc_id"], r["text"]) for r in out.collect()]
+            if empty:
+                assert got == []
+            elif name == "near_dedup":
+                assert sorted(got, key=str) == sorted([(1, None), (None, rows[2][1]), (3, rows[3][1]), (4, rows[5][1])], key=str)
+            elif name != "mixing":
+                assert sorted(got, key=str) == sorted([(r[0], r[1]) for r in rows], key=str)
+
+
 def test_run(spark):
     assert 0 < corpus_pipeline.run(spark, SMALL).count() < spark.read.parquet(f"{SMALL}/documents.parquet").count()
