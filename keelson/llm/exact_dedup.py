@@ -25,6 +25,8 @@ _ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
+    # many small stores: files are not allocated ahead, megabytes for each store at once
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
