@@ -54,9 +54,10 @@ def _places(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
 
 
-def _slots(token: Column, bits: int) -> list[Column]:
-    h = F.xxhash64(token)
-    return [F.pmod(h + F.shiftrightunsigned(h, 32) * F.lit(k), F.lit(bits)) for k in range(PROBES)]
+def _slots(h: Column, bits: int) -> list[Column]:
+    """The places of a 64-bit hash; its halves are combined, so that no sum leaves 64 bits."""
+    low, high = h.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(h, 32)
+    return [F.pmod(low + high * F.lit(k), F.lit(bits)) for k in range(PROBES)]
 
 
 class Tokens:
@@ -71,7 +72,7 @@ class Tokens:
                 self.listed.setdefault(r["size"], []).append(r["token"])
             return
         self.bits = min(BLOOM_BITS, max(BLOOM_LEAST, 1 << (12 * n).bit_length()))
-        slots = table.select(F.explode(F.array(*_slots(F.col("token"), self.bits))).alias("s"))
+        slots = table.select(F.explode(F.array(*_slots(F.xxhash64("token"), self.bits))).alias("s"))
         words = slots.groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 31))")).alias("b"))
         filled = {r["w"]: r["b"] for r in words.collect()}  # at most BLOOM_BITS / 32 rows
         self.filter = json.dumps([filled.get(w, 0) for w in range(self.bits // 32)])
@@ -84,7 +85,7 @@ class Tokens:
             return token.isin(self.listed.get(size, []))
         words = F.from_json(F.lit(self.filter), "array<long>")
         set_bit = lambda s: F.call_function("shiftright", F.get(words, F.shiftright(s, 5).cast("int")), s.bitwiseAND(F.lit(31)).cast("int")).bitwiseAND(F.lit(1)) == 1
-        return reduce(Column.__and__, map(set_bit, _slots(token, self.bits)))
+        return reduce(Column.__and__, map(set_bit, _slots(F.xxhash64(token), self.bits)))
 
 
 def _held(words: Column, size: int, tokens: Tokens) -> Column:
