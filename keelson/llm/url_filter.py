@@ -5,7 +5,9 @@ is filed under that one of its tokens which the fewest URLs hold (counted over t
 tokens only). A URL's tokens look up candidate rules, and only those run their expressions. Everything happens
 within a row: no join and no shuffle, so a host with a third of all rows costs no more than its rows.
 
-The rule list is configuration and travels as one literal; INDEX_BYTES bounds it.
+The rule list is configuration. Its most frequent tokens' rules travel as one literal of at most INDEX_BYTES. What goes
+beyond is a written table which those URL tokens join that a filter finds among its own, and the best rule of each row
+comes back to it; rules of hot tokens stay within the row, so no hot key is shuffled.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, no rule, and the default verdict;
 repeated rows are judged each; other columns are ignored; an empty table gives an empty result.
@@ -15,14 +17,17 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read_table
+from .common import ascii_lower, materialize, measured_side, numbered, read_table
+from .decontaminate import Tokens
 
-#: The rule index is shipped with each task; a larger list is refused.
+#: Bytes of the rule index that are shipped with each task; rules beyond are joined.
 INDEX_BYTES = 16 << 20
 
 
@@ -91,30 +96,69 @@ def token_counts(urls: DataFrame, subject: Column, tokens: set[str]) -> dict[str
     return {r["t"]: r["n"] for r in held.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def judge_urls(urls: DataFrame, rules: list[UrlRule], default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
-    """Returns key, host, path, rule (null if no named rule fits), verdict and n_candidates for every row of urls."""
-    split = urls.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"))
+RULE = "struct<named:boolean,rank:int,name:string,verdict:string,pattern:string>"
+
+
+def _row_of(rule: UrlRule) -> dict:
+    return {"named": rule.named, "rank": rule.rank, "name": rule.name, "verdict": rule.verdict, "pattern": rule.pattern}
+
+
+def _url_tokens(subject: Column) -> Column:
+    """The distinct tokens of a URL and "", under which rules without a token are filed."""
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.split(subject, "[^0-9A-Za-z]+")))
+
+
+def _split(urls: DataFrame, key: str, url: str, *more: Column) -> DataFrame:
+    """(page_id, host, path, s) and more columns; s is what rules are matched against."""
+    given = urls.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), *more)
     host, path = split_url(F.col("url"))
-    split = split.select("page_id", host.alias("host"), path.alias("path"))
-    subject = F.concat("host", "path")
-    index = rarest_token_index(rules, token_counts(split, subject, {t for r in rules for t in r.tokens}))
-    buckets: list[list[dict]] = [[] for _ in range(max(1, 2 * len(index)))]
-    for token, filed in index.items():
-        entry = {"t": token, "r": [{"named": rules[i].named, "rank": rules[i].rank, "name": rules[i].name, "verdict": rules[i].verdict, "pattern": rules[i].pattern} for i in filed]}
-        buckets[_bucket(token, len(buckets))].append(entry)
-    text = json.dumps(buckets)
-    if len(text) > INDEX_BYTES:
-        raise ValueError(f"the rule index takes {len(text)} bytes; at most {INDEX_BYTES} travel with a task")
-    table = F.from_json(F.lit(text), "array<array<struct<t:string,r:array<struct<named:boolean,rank:int,name:string,verdict:string,pattern:string>>>>>")
-    tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.split(subject, "[^0-9A-Za-z]+")))
+    parts = given.select("*", host.alias("host"), path.alias("path")).drop("url")
+    return parts.select("*", F.concat("host", "path").alias("s"))
+
+
+def _fits(rule: Column) -> Column:
+    return F.expr("host != ''") & F.rlike(F.col("s"), rule["pattern"])
+
+
+def _in_row(split: DataFrame, buckets: list[list[dict]]) -> DataFrame:
+    """split with n (candidates) and b, the best rule that fits: the index is a literal, looked up within the row."""
+    table = F.from_json(F.lit(json.dumps(buckets)), f"array<array<struct<t:string,r:array<{RULE}>>>>")
     slot = lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(len(buckets))).cast("int")
-    filed = F.flatten(F.transform(tokens, lambda t: F.filter(F.get(table, slot(t)), lambda e: e["t"] == t)))
-    candidates = F.flatten(F.transform(filed, lambda e: e["r"]))
-    fits = F.filter(F.col("c"), lambda r: F.expr("host != ''") & F.rlike(F.col("s"), r["pattern"]))
-    best = F.array_max(F.col("f"))
-    judged = split.select("*", subject.alias("s"), candidates.alias("c")).select("page_id", "host", "path", F.size("c").alias("n_candidates"), fits.alias("f"))
-    judged = judged.select("page_id", "host", "path", "n_candidates", best.alias("b"))
-    return judged.select("page_id", "host", "path", F.when(F.col("b.named"), F.col("b.name")).alias("rule"), F.coalesce(F.col("b.verdict"), F.lit(default)).alias("verdict"), "n_candidates")
+    filed = F.flatten(F.transform(_url_tokens(F.col("s")), lambda t: F.filter(F.get(table, slot(t)), lambda e: e["t"] == t)))
+    candidates = split.select("*", F.flatten(F.transform(filed, lambda e: e["r"])).alias("c"))
+    return candidates.select("*", F.size("c").alias("n"), F.array_max(F.filter(F.col("c"), _fits)).alias("b")).drop("c")
+
+
+def _joined(split: DataFrame, entries: list[dict]) -> DataFrame:
+    """(_row, n, b) of the rows that hold tokens of the entries: the written rules are joined by those tokens alone."""
+    rules = materialize(split.sparkSession.createDataFrame([(e["t"], r) for e in entries for r in e["r"]], f"t string, r {RULE}"), "rules")
+    known = Tokens(materialize(rules.select(F.col("t").alias("token"), F.lit(1).alias("size")).distinct(), "rule-tokens"))
+    width = F.octet_length("t") + F.octet_length("r.name") + F.octet_length("r.pattern") + F.octet_length("r.verdict") + 48
+    tokens = split.select("_row", "host", "s", F.explode(F.filter(_url_tokens(F.col("s")), lambda t: known(t, 1))).alias("t"))
+    found = tokens.join(measured_side(rules, width), "t").select("_row", F.when(_fits(F.col("r")), F.col("r")).alias("r"))
+    return found.groupBy("_row").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("r").alias("b"))
+
+
+def judge_urls(urls: DataFrame, rules: list[UrlRule], default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
+    """Returns key, host, path, rule (null if no named rule fits), verdict and n_candidates for every row of urls."""
+    split = _split(urls, key, url)
+    counts = token_counts(split, F.col("s"), {t for r in rules for t in r.tokens})
+    entries = [{"t": t, "r": [_row_of(rules[i]) for i in filed]} for t, filed in rarest_token_index(rules, counts).items()]
+    entries.sort(key=lambda e: (e["t"] != "", -counts.get(e["t"], 0), e["t"]))  # the most frequent tokens stay within the row
+    ends = list(accumulate(len(json.dumps(e)) + 8 for e in entries))
+    fit = bisect_right(ends, INDEX_BYTES)
+    buckets: list[list[dict]] = [[] for _ in range(max(1, 2 * fit))]
+    for e in entries[:fit]:
+        buckets[_bucket(e["t"], len(buckets))].append(e)
+    if fit == len(entries):
+        judged = _in_row(split, buckets)
+    else:
+        rows, row = numbered(urls)
+        split = _split(rows, key, url, F.col(row).alias("_row"))
+        more = _joined(split, entries[fit:]).select("_row", F.col("n").alias("n2"), F.col("b").alias("b2"))
+        judged = _in_row(split, buckets).join(more, "_row", "left")
+        judged = judged.select("page_id", "host", "path", (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.greatest("b", "b2").alias("b"))
+    return judged.select("page_id", "host", "path", F.when(F.col("b.named"), F.col("b.name")).alias("rule"), F.coalesce(F.col("b.verdict"), F.lit(default)).alias("verdict"), F.col("n").alias("n_candidates"))
 
 
 def _bucket(token: str, n: int) -> int:

@@ -87,10 +87,18 @@ def test_candidates_are_few(spark):
     assert {r["verdict"] for r in got} == {"block"} and max(r["n_candidates"] for r in got) <= 2
 
 
-def test_rule_list_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "INDEX_BYTES", 10)
-    with pytest.raises(ValueError):
-        url_filter.judge_urls(spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string"), list(url_filter.BASE_RULES))
+@pytest.mark.parametrize("size", [10, 700])
+@pytest.mark.parametrize("in_row", [100_000, 0])
+def test_rules_beyond_the_literal(spark, monkeypatch, size, in_row):
+    """Rules that do not fit the literal are joined: all of them, or all but those of the most frequent tokens."""
+    rules = [*url_filter.BASE_RULES, *url_filter.OWN_RULES, url_filter.UrlRule("any", "block", "^q[.]", (), 1)]
+    urls = [*URLS, (30, "http://q.com/en"), (31, "http://q.org"), (31, "http://q.org")]
+    df = spark.createDataFrame([(i, u, "x", 7) for i, u in urls], "page_id long, url string, host string, _row int")
+    want = rows_of(url_filter.judge_urls(df, rules))
+    monkeypatch.setattr(url_filter, "INDEX_BYTES", size)
+    monkeypatch.setattr(decontaminate, "IN_ROW", in_row)
+    assert rows_of(url_filter.judge_urls(df, rules)) == want
+    assert url_filter.judge_urls(df.limit(0), rules).count() == 0
 
 
 # op2
@@ -465,6 +473,14 @@ def test_contamination(spark, docs, none, monkeypatch, in_row, shingle):
         assert clean.columns == docs.columns and rows_of(clean.select("doc_id", "text")) == sorted(map(repr, want))
 
 
+def test_filter_places_of_extreme_hashes(spark):
+    """Sums of a hash's parts stay within 64 bits, where Spark would raise an error."""
+    hashes = [(1 << 63) - 1, -(1 << 63), -1, 0, 1 << 62]
+    got = spark.createDataFrame([(h,) for h in hashes], "h long").select(F.array(*decontaminate._slots(F.col("h"), 1 << 16))).collect()
+    parts = [(h & 0xFFFFFFFF, (h >> 32) & 0xFFFFFFFF) for h in hashes]
+    assert [r[0] for r in got] == [[(low + k * high) % (1 << 16) for k in range(decontaminate.PROBES)] for low, high in parts]
+
+
 def test_many_windows_cost_few_places(spark, small, monkeypatch):
     """Beyond IN_ROW a filter keeps places that are no window's from being written with their words."""
     items = spark.read.parquet(f"{small}/benchmark.parquet")
