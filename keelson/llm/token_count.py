@@ -81,36 +81,43 @@ class Counter:
         return total
 
     def viterbi(self, token: str) -> int:
-        """Pieces of the best segmentation of one pre-token."""
+        """Pieces of the best segmentation of one pre-token.
+
+        The automaton tells matches by ascending end and, of one end, the longest first, so an earlier start stays on a tie
+        and a piece of one character comes last: an end is settled as soon as the next one is told.
+        """
         size = len(token)
-        single = bytearray(size)  # where a piece of one character starts
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
-        for end, (length, score) in self.automaton.iter(token):
-            ends[end + 1].append((length, score))
-            if length == 1:
-                single[end] = 1
         best, count, unknown = [0.0] * (size + 1), [0] * (size + 1), [0] * (size + 1)  # unknown: characters of the unknown run that ends here
-        for end in range(1, size + 1):
-            top = None
-            found = ends[end]
-            found.sort(reverse=True)  # ascending start: an earlier start stays on a tie
-            for length, score in found:
-                here = score + best[end - length]
-                if top is None or here > top:
-                    top, start, known = here, end - length, True
-            if not single[end - 1]:
-                here = self.lowest + best[end - 1]
-                if top is None or here > top:
-                    top, start, known = here, end - 1, False
-            best[end] = top
-            if known:
-                count[end] = count[start] + 1
-            elif self.byte_pieces:
-                count[end], unknown[end] = count[start] + len(token[start].encode("utf-8", "surrogatepass")), unknown[start] + 1
-            else:
-                count[end], unknown[end] = count[start] + (not unknown[start]), unknown[start] + 1
+        at = length = start = 0  # the end whose matches are being met, the last of their lengths, and the start of the best
+        top = 0.0
+        for last, (length_here, score) in self.automaton.iter(token):
+            if last >= at:
+                if at:
+                    if length == 1:
+                        best[at], count[at] = top, count[start] + 1
+                    else:
+                        self._settle(token, at, top, start, best, count, unknown)
+                for gap in range(at + 1, last + 1):
+                    self._settle(token, gap, None, 0, best, count, unknown)
+                at, start = last + 1, last + 1 - length_here
+                top = score + best[start]
+            elif (here := score + best[at - length_here]) > top:
+                top, start = here, at - length_here
+            length = length_here
+        if at:
+            self._settle(token, at, top, start, best, count, unknown, length == 1)
+        for gap in range(at + 1, size + 1):
+            self._settle(token, gap, None, 0, best, count, unknown)
         return count[size]
 
+    def _settle(self, token: str, end: int, top: float | None, start: int, best: list, count: list, unknown: list, single: bool = False) -> None:
+        """Fixes an end whose best piece starts at start (top None: no piece ends here); single: its last character is a piece."""
+        if not single and (top is None or self.lowest + best[end - 1] > top):
+            best[end], unknown[end], before = self.lowest + best[end - 1], unknown[end - 1] + 1, count[end - 1]
+            count[end] = before + (len(token[end - 1].encode("utf-8", "surrogatepass")) if self.byte_pieces else not unknown[end - 1])
+        else:
+            best[end], count[end] = top, count[start] + 1
+
 
 def _count(model):
     def run(batches):
