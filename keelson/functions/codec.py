@@ -11,6 +11,7 @@ Encoders of keys are Spark expressions. Decoders and records go through Arrow-ba
 from __future__ import annotations
 
 import struct
+import threading
 from collections.abc import Callable
 from decimal import Decimal
 from typing import Any
@@ -27,18 +28,24 @@ _FORMATS = {"double": "<d", "float": "<f", "bool": "<?", **dict.fromkeys(("int64
 INDEX_MARK = 0xFF
 #: Bytes that the size bound counts before a compressed field's data: one length more than is written.
 COMPRESSED_HEAD = 12
+#: A thread's compressor and decompressor, which take longer to make than to use on a short text.
+_zstd = threading.local()
 
 
 def zstd_compress(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    if not hasattr(_zstd, "pack"):
+        _zstd.pack = zstandard.ZstdCompressor(level=1)
+    return _zstd.pack.compress(data)
 
 
 def zstd_decompress(data: bytes, size: int) -> bytes:
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
+    if not hasattr(_zstd, "unpack"):
+        _zstd.unpack = zstandard.ZstdDecompressor()
+    return _zstd.unpack.decompress(data, max_output_size=size)
 
 
 # plain functions
@@ -104,30 +111,46 @@ def decode_index_key(key: bytes) -> tuple[int, int, bytes]:
     return table_id, key[at], key[at + 1 :]
 
 
+def _field_bytes(table: TableSchema, f: FieldSchema, value: Any) -> bytes:
+    """A field's part of a record."""
+    if f.repeated:
+        parts = [pack_scalar(f, v) for v in value]
+        return struct.pack("<I", len(parts)) + b"".join(p if f.width else struct.pack("<I", len(p)) + p for p in parts)
+    data = pack_scalar(f, value)
+    if f.width:
+        return data
+    if not table.compressed(f):
+        return struct.pack("<I", len(data)) + data
+    packed = zstd_compress(data) if len(data) >= table.compress_threshold else data
+    packed = packed if len(packed) < len(data) else data
+    return struct.pack("<II", len(packed), len(data)) + packed
+
+
 def encode_record(table: TableSchema, record: dict, expires: int = 0, pad: bool = False) -> bytes:
     """pad: zero bytes up to `size_bound` follow, as stores write them that size their buffers before they compress."""
     out = [struct.pack("<q", expires)] if table.ttl_ns else []
-    for f in table.fields:
-        value = record[f.name]
-        if f.repeated:
-            out.append(struct.pack("<I", len(value)))
-            for v in value:
-                data = pack_scalar(f, v)
-                out += [data] if f.width else [struct.pack("<I", len(data)), data]
-        elif f.width:
-            out.append(pack_scalar(f, value))
-        else:
-            data = pack_scalar(f, value)
-            if table.compressed(f):
-                packed = zstd_compress(data) if len(data) >= table.compress_threshold else data
-                packed = packed if len(packed) < len(data) else data
-                out += [struct.pack("<II", len(packed), len(data)), packed]
-            else:
-                out += [struct.pack("<I", len(data)), data]
+    out += [_field_bytes(table, f, record[f.name]) for f in table.fields]
     whole = b"".join(out)
     return whole.ljust(size_bound(table, record), b"\0") if pad else whole
 
 
+#: Fixed-width types whose columns are laid out as arrays.
+_ARRAYS = {**dict.fromkeys(("int64", "sint64", "sfixed64"), "<i8"), **dict.fromkeys(("int32", "sint32", "sfixed32", "enum"), "<i4")}
+
+
+def _fixed(values: pd.Series, kind: str) -> list[bytes]:
+    """Every value's bytes, from one array of the column."""
+    data, width = values.to_numpy().astype(kind).tobytes(), int(kind[-1])
+    return [data[i : i + width] for i in range(0, len(data), width)]
+
+
+def _pieces(table: TableSchema, f: FieldSchema, values: pd.Series) -> list[bytes]:
+    """A field's part of every record of a column."""
+    if not f.repeated and f.type in _ARRAYS and values.dtype.kind == "i":  # a column with nulls has another dtype
+        return _fixed(values, _ARRAYS[f.type])
+    return [_field_bytes(table, f, v) for v in values]
+
+
 class _Bytes:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
@@ -231,11 +254,15 @@ def size_column(table: TableSchema) -> Column:
 def encode_records(df: DataFrame, table: TableSchema, expires: str | None = None) -> DataFrame:
     """(key, value) of every row."""
     names = [f.name for f in table.fields]
+    head = uvarint(table.table_id)
 
     def run(frames):
         for pdf in frames:
-            rows = pdf.to_dict("records")
-            yield pd.DataFrame({"key": [encode_key(table.table_id, key_part(table.pk, r[table.primary_key])) for r in rows], "value": [encode_record(table, r, int(r["_e"])) for r in rows]})
+            parts = {f.name: _pieces(table, f, pdf[f.name]) for f in table.fields}
+            pk = pdf[table.primary_key]
+            keys = parts[table.primary_key] if table.pk.width and table.pk.type in _ARRAYS else [key_part(table.pk, v) for v in pk]
+            before = [_fixed(pdf["_e"].map(int), "<i8")] if table.ttl_ns else []
+            yield pd.DataFrame({"key": [head + k for k in keys], "value": [b"".join(p) for p in zip(*before, *parts.values(), strict=True)]})
 
     given = df.select(*names, (F.col(expires) if expires else F.lit(0)).cast("long").alias("_e"))
     return given.mapInPandas(run, "key binary, value binary")
@@ -251,7 +278,7 @@ def decode_records(df: DataFrame, table: TableSchema, value: str = "value") -> D
             for data in pdf["_v"]:
                 try:
                     expires, fields = decode_record(table, bytes(data))
-                    rows.append({**fields, "_expires_at": expires})
+                    rows.append((*fields.values(), expires))
                 except (MalformedValue, TypeError):
                     continue
             yield pd.DataFrame(rows, columns=schema.names)

@@ -6,11 +6,17 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_BLANKS = dict.fromkeys(map(ord, "\n\r\t"))
 PREVIEW_BYTES, CLEAN_BYTES, HEX_BYTES, PRINT_BYTES = 64, 256, 256 << 10, 4 << 10
 
 
 def printable(data: bytes) -> str:
     """Printable characters of valid UTF-8 as they are, every other byte as \\xNN."""
+    try:
+        if (whole := data.decode()).isprintable():
+            return whole
+    except UnicodeDecodeError:
+        pass
     out, at = [], 0
     while at < len(data):
         for n in (1, 2, 3, 4):
@@ -34,7 +40,7 @@ def preview(data: bytes, limit: int = CLEAN_BYTES) -> str:
         text = data.decode()
     except UnicodeDecodeError:
         return printable(data[:limit])
-    if not all(c.isprintable() or c in "\n\r\t" for c in text):
+    if not text.translate(_BLANKS).isprintable():
         return printable(data[:limit])
     return text if len(data) <= limit else data[:limit].decode("utf-8", "ignore") + "…"
 

@@ -67,6 +67,7 @@ def test_columns_agree(spark):
     big = spark.createDataFrame([(Decimal(2**64 - 2),)], "id decimal(20,0)")
     assert bytes(big.select(codec.encode_key_column(WIDE)).first()[0]) == codec.encode_key(1, (2**64 - 2).to_bytes(8, "little"))
     kv = codec.encode_records(df, PARCEL)
+    assert sorted((bytes(r["key"]), bytes(r["value"])) for r in kv.collect()) == sorted((codec.encode_key(1, codec.key_part(PARCEL.pk, r["no"])), codec.encode_record(PARCEL, r.asDict())) for r in df.collect())
     damaged = kv.union(spark.createDataFrame([(bytearray(b"k"), bytearray(b"zz")), (bytearray(b"k"), None)], kv.schema))
     assert sorted(codec.decode_records(damaged, PARCEL).drop("_expires_at").collect()) == sorted(df.collect())
     z = df.select(codec.decompress_column(codec.compress_column(F.to_binary("remarks", F.lit("utf-8")))).cast("string").alias("remarks"), "no")
@@ -86,6 +87,7 @@ def test_describe_keys():
 
 def test_text():
     assert text.printable(b"ab\n\xff\xc3\xa9\x7f") == "ab\\x0a\\xffé\\x7f" and text.preview(b"x" * 300) == "x" * 256 + "…" and text.preview("é".encode() * 200).endswith("…")
+    assert text.printable("é ok".encode()) == "é ok" and text.printable(b"\t") == "\\x09" and text.preview(b"a\tb\n") == "a\tb\n" and text.preview(b"a\x00") == "a\\x00"
     assert text.preview(b"a\xff") == "a\\xff" and text.preview(b"") == ""
 
 
