@@ -124,7 +124,7 @@ def beside(rows: DataFrame, blobs: DataFrame, parts: int, load, each, schema) ->
             starts = np.flatnonzero(batch.column("o").to_numpy(zero_copy_only=False) == 0).tolist()
             if (not starts or starts[0]) and batch.num_rows:
                 yield from each(now, pa.RecordBatch.from_struct_array(batch.column("r").slice(0, starts[0] if starts else None)))
-            for i, j in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            for i, j in zip(starts, [*starts[1:], batch.num_rows], strict=False):  # a batch within a key's rows starts none
                 now = load(batch.column("blob")[i].as_py())
                 if j > i + 1:
                     yield from each(now, pa.RecordBatch.from_struct_array(batch.column("r").slice(i + 1, j - i - 1)))

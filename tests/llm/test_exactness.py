@@ -180,6 +180,27 @@ def test_own_trees_of_large_leaves(spark, monkeypatch):
     assert want == brute.components(len(points), lambda i, j: (i, j) in linked)
 
 
+def test_own_trees_over_several_batches(spark, monkeypatch):
+    """The rows beside one tree fill several Arrow batches, of which only the first holds the tree."""
+    monkeypatch.setattr(simhash, "SAMPLE", 20)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 60)
+    rng = np.random.default_rng(9)
+    points = np.unique(rng.integers(0, 1 << 63, 600, dtype=np.uint64))
+    near = points[:50] ^ (np.uint64(1) << rng.integers(0, 64, 50).astype(np.uint64))
+    points = np.unique(np.concatenate([points, near]))
+    given = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        edges = [tuple(r) for r in simhash.shard_edges(simhash.vantage_shards(given, 3, leaf_rows=40), 3).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    at = {int(p): i for i, p in enumerate(points.view(np.int64))}
+    linked = {(at[a], at[b]) for e in edges for a, b in (e, e[::-1])}
+    want = brute.components(len(points), lambda i, j: (int(points[i]) ^ int(points[j])).bit_count() <= 3)
+    assert len(set(want)) < len(points) and want == brute.components(len(points), lambda i, j: (i, j) in linked)
+
+
 def test_packed_tree():
     points = np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64)
     tree = simhash.VantageTree(points, 0xFFFFFFFF, 1, 20)
