@@ -35,7 +35,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (5-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near duplicates (5-word shingles, similarity 0.8 or more) the smallest doc_id stays.
+
+    SimHash fingerprints linked by vantage-point trees come first, min-wise orders find the pairs beyond their radius,
+    and exact sets judge both.
+    """
     return near_duplicates(docs)
 
 

@@ -1,16 +1,20 @@
-"""Near duplicates by exact similarity of shingle sets.
-
-At a similarity of 0.8 over 5-word shingles SimHash fingerprints differ in about ten bits, where no triangle bound
-prunes anything in 64 dimensions. The search therefore takes its shards from the documents' smallest shingle hashes
-under SKETCHES orders (a pair at 0.8 shares none with a chance of 0.2 ** SKETCHES, 4e-9) and judges every pair of a
-shard: parity bits of the sets rule out pairs that cannot have the similarity, the rest are compared as exact shingle
-sets, and only pairs found similar unite points. Rows of equal shingle sets, told by a 128-bit hash of the sorted set,
-are one point, so thousands of copies are judged once.
-
-Three phases, each of which leaves out pairs that are united already and no others:
- 1. the shards of the first FIRST orders, 2. those of the other orders that still hold points of several groups, each
-    shard above TILE_ROWS cut into tiles of which every one is a task and holds LEADERS points of the whole shard;
- 3. what tiles leave open: in a shard whose points are still of several groups, the points outside its largest group
+"""Near duplicates by SimHash fingerprints, vantage-point trees and exact similarity of shingle sets.
+
+Rows of equal shingle sets, told by a 128-bit hash of the sorted set, are one point, so thousands of copies are judged
+once. Every point has the SimHash fingerprint of its set, the vantage-point trees of simhash.py link fingerprints at
+RADIUS or fewer differing bits, and a component of links is a shard. Every pair of a shard is judged: parity bits of the
+sets rule out pairs that cannot have the similarity, the rest are compared as exact shingle sets, and only pairs found
+similar unite points.
+
+At a similarity of 0.8 over 5-word shingles fingerprints differ in about ten bits, where no triangle bound prunes
+anything in 64 dimensions. The pairs that lie beyond RADIUS get further shards, judged in the same way, from their
+smallest shingle hashes under SKETCHES orders (a pair at 0.8 shares none with a chance of 0.2 ** SKETCHES, 4e-9).
+
+Four phases, each of which leaves out pairs that are united already and no others:
+ 1. the shards of linked fingerprints, 2. those of the first FIRST orders, 3. those of the other orders, as far as they
+    still hold points of several groups, each shard above TILE_ROWS cut into tiles of which every one is a task and
+    holds LEADERS points of the whole shard;
+ 4. what tiles leave open: in a shard whose points are still of several groups, the points outside its largest group
     meet all others, in tasks of tile against tile within length classes (similar sets lie in neighbouring classes).
 A hot shard of near copies is thus united through its leaders in linear work; only points that stay apart cost more.
 
@@ -21,6 +25,7 @@ repeated rows are one group; other columns pass through; an empty table gives an
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize, numbered, small_side
 from .components import connected_components
-from .simhash import shingle_hashes
+from .simhash import fingerprint, shard_edges, shingle_hashes, vantage_shards
 
 #: Points and shingle hashes in one tile, points of a shard that all its tiles hold, and the most parity bits of a set.
 TILE_ROWS, TILE_HASHES, LEADERS, PARITY_BITS = 256, 1 << 21, 8, 1 << 15
-#: Min-wise orders of the search, and those of the first phase.
+#: Differing bits at which fingerprints link.
+RADIUS = 3
+#: Min-wise orders of the search, and those of their first phase.
 SKETCHES, FIRST = 12, 2
 #: Rows of tasks that one partition takes.
 TASK_ROWS = 20_000
@@ -63,21 +70,21 @@ def _outlines(words: int, sketches: int):
 
     def run(batches):
         for batch in batches:
-            keys, sizes, bits, mins = [], [], [], []
+            keys, sizes, prints, bits, mins = [], [], [], [], []
             for text in batch.column("text"):
                 own = shingle_set(text.as_py(), words)
                 keys.append(xxhash.xxh3_128_hexdigest(own.tobytes()))
-                sizes.append(len(own)), bits.append(parity_bits(own).tobytes())
+                sizes.append(len(own)), prints.append(fingerprint([own])), bits.append(parity_bits(own).tobytes())
                 mins.append([int((own * m).min().view(np.int64)) for m in orders] if len(own) else [0] * sketches)
-            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.string()), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary()), "mins": pa.array(mins, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.string()), "n": pa.array(sizes, pa.int64()), "fp": pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), "bits": pa.array(bits, pa.binary()), "mins": pa.array(mins, pa.list_(pa.int64()))})
 
     return run
 
 
 def outlines(docs: DataFrame, row: str, words: int, sketches: int) -> DataFrame:
-    """(row, doc_id, key, n, bits, mins): the identity, size and parity bits of every row's shingle set and its smallest hashes."""
+    """(row, doc_id, key, n, fp, bits, mins): the identity, size, fingerprint and parity bits of every row's shingle set and its smallest hashes."""
     given = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return given.mapInArrow(_outlines(words, sketches), f"row {dict(given.dtypes)['row']}, doc_id long, key string, n long, bits binary, mins array<long>")
+    return given.mapInArrow(_outlines(words, sketches), f"row {dict(given.dtypes)['row']}, doc_id long, key string, n long, fp long, bits binary, mins array<long>")
 
 
 def maybe_similar(n: np.ndarray, bits: list[np.ndarray], similarity: float):
@@ -255,22 +262,32 @@ def _united(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return materialize(labels.join(found, "root", "left").select("pid", F.coalesce("to", "root").alias("root")), "labels")
 
 
+def linked_shards(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(pid, n, shard) of the points (pid, n, fp): a shard is a component of fingerprints linked at radius or fewer bits."""
+    prints = materialize(points.select("fp").distinct(), "prints")
+    found = materialize(connected_components(shard_edges(vantage_shards(prints, radius), radius)), "linked")
+    own = points.select("pid", "n", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    return materialize(own.select("pid", "n", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("shard")), "linked")
+
+
 def similar_groups(docs: DataFrame, row: str, points: DataFrame, words: int, similarity: float, sketches: int = SKETCHES) -> DataFrame:
-    """(pid, root) of the points (pid, row, n, bits, mins): one root for each group of similar points."""
+    """(pid, root) of the points (pid, row, n, fp, bits, mins): one root for each group of similar points."""
     labels, hot = points.select("pid", F.col("pid").alias("root")), []
 
-    def members(orders) -> DataFrame:
-        each = points.select("pid", "n", F.explode(F.array(*[F.xxhash64(F.lit(k), F.get("mins", F.lit(k))) for k in orders])).alias("shard"))
-        return materialize(each.join(labels, "pid").select("shard", "pid", "root", "n"), "members")
+    def ordered(orders) -> DataFrame:
+        return points.select("pid", "n", F.explode(F.array(*[F.xxhash64(F.lit(k), F.get("mins", F.lit(k))) for k in orders])).alias("shard"))
+
+    def members(shards: DataFrame) -> DataFrame:
+        return materialize(shards.join(labels, "pid").select("shard", "pid", "root", "n"), "members")
 
-    for orders in (range(min(FIRST, sketches)), range(FIRST, sketches)):
-        if len(orders):
-            tasks, large = star_tasks(members(orders))
-            hot.append(large)
-            labels = _united(labels, judged(docs, row, points, tasks, words, similarity))
-    large = materialize(hot[0].union(hot[-1]).distinct(), "hot")
+    phases = [linked_shards(points), *(ordered(orders) for orders in (range(min(FIRST, sketches)), range(FIRST, sketches)) if len(orders))]
+    for shards in phases:
+        tasks, large = star_tasks(members(shards))
+        hot.append(large)
+        labels = _united(labels, judged(docs, row, points, tasks, words, similarity))
+    large = materialize(reduce(DataFrame.union, hot).distinct(), "hot")
     if not large.isEmpty():
-        rest = materialize(members(range(sketches)).join(small_side(large, 16), "shard", "left_semi"), "rest")
+        rest = members(reduce(DataFrame.unionByName, phases).join(small_side(large, 16), "shard", "left_semi"))
         labels = _united(labels, judged(docs, row, points, rest_tasks(rest, similarity), words, similarity))
     return labels
 
@@ -279,7 +296,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, sk
     """docs with one row of each near-duplicate group: that with the smallest doc_id, of equal ids the first row written."""
     rows, row = numbered(docs)
     prints = materialize(outlines(rows, row, words, sketches), "outlines")
-    first = prints.groupBy("key").agg(F.min(F.struct("row", "n", "bits", "mins")).alias("f"))
+    first = prints.groupBy("key").agg(F.min(F.struct("row", "n", "fp", "bits", "mins")).alias("f"))
     points = materialize(first.select(F.monotonically_increasing_id().alias("pid"), "key", "f.*"), "points")
     found = similar_groups(rows, row, points, words, similarity, sketches)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("row").alias("r")))

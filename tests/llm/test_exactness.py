@@ -289,6 +289,27 @@ def test_hot_shard_in_small_tiles(spark, monkeypatch):
     assert got == kept_by_pairs(rows)
 
 
+def test_linked_fingerprints_find_near_copies_alone(spark):
+    """Without min-wise orders the vantage-point trees bring near copies together, and exact sets judge what they link."""
+    rng, rows = np.random.default_rng(13), []
+    for g in range(5):
+        base = [f"g{g}w{i}" for i in range(900)]
+        for k in range(12):
+            words = list(base)
+            for at in rng.choice(900, k % 4, replace=False):
+                words[at] = f"e{g}x{k}y{at}"
+            rows.append((100 * g + k, " ".join(words)))
+    sets = [set(brute.shingles(t, 5)) for _, t in rows]
+    prints = [simhash.fingerprint([near_sets.shingle_set(t.encode(), 5)]) for _, t in rows]
+    link = brute.components(len(rows), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    roots = brute.components(len(rows), lambda i, j: link[i] == link[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    want = sorted({rows[r][0] for r in roots})
+    assert len(want) < 30 and kept_by_pairs(rows) == [0, 100, 200, 300, 400]
+    given = spark.createDataFrame(rows, DOCS)
+    assert sorted(r["doc_id"] for r in near_sets.near_duplicates(given, sketches=0).collect()) == want
+    assert sorted(r["doc_id"] for r in near_sets.near_duplicates(given).collect()) == [0, 100, 200, 300, 400]
+
+
 def test_near_duplicates_of_the_given_documents(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(r["doc_id"] for r in near_sets.near_duplicates(spark.read.parquet(f"{small}/documents.parquet")).collect())
