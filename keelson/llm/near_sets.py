@@ -246,12 +246,13 @@ def judged(docs: DataFrame, row: str, points: DataFrame, tasks: DataFrame, words
     # a count of partitions of its own: the rows are few bytes and much work, and would be merged into few tasks
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tasks.count() // TASK_ROWS))
     rows = tasks.join(points.select("pid", "n", "bits"), "pid").select("task", "pid", "root", "n", "bits")
-    some = materialize(rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_partners(similarity), "task long, pid long, root long"), "candidates")
+    some = rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_partners(similarity), "task long, pid long, root long")
+    some = materialize(some.hint("rebalance"), "candidates")  # few rows of many tasks: files of a fair size, not one a task
     first = materialize(points.select("pid", F.col("row").alias(row)).join(some.select("pid").distinct(), "pid", "left_semi"), "first")
     texts = docs.select(F.col(row), F.col("text").cast("binary").alias("text")).join(small_side(first, 40), row)
-    sets = materialize(texts.select("pid", "text").mapInArrow(_shingle_sets(words), "pid long, s array<long>"), "sets")
+    sets = texts.select("pid", "text").mapInArrow(_shingle_sets(words), "pid long, s array<long>")
     given = some.join(sets, "pid").select("task", "root", "s").repartition(parts, "task").sortWithinPartitions("task")
-    return materialize(given.mapInArrow(_similar(similarity), "a long, b long"), "similar")
+    return materialize(given.mapInArrow(_similar(similarity), "a long, b long").distinct(), "similar")
 
 
 def _united(labels: DataFrame, edges: DataFrame) -> DataFrame:

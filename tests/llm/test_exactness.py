@@ -310,6 +310,29 @@ def test_linked_fingerprints_find_near_copies_alone(spark):
     assert sorted(r["doc_id"] for r in near_sets.near_duplicates(given).collect()) == [0, 100, 200, 300, 400]
 
 
+def test_near_duplicates_write_few_files(spark, monkeypatch):
+    """What many tasks find is few rows; it is not a file for each task, as every file costs an executor a process of its own."""
+    rows, files = [], {}
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(60)]
+        rows += [(10 * g + k, " ".join(base[: 60 - k])) for k in range(4)]
+    write = near_sets.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        files[label] = max(files.get(label, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_sets, "materialize", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = sorted(r["doc_id"] for r in near_sets.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == kept_by_pairs(rows) and max(files[label] for label in ("candidates", "similar")) <= 2
+
+
 def test_near_duplicates_of_the_given_documents(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(r["doc_id"] for r in near_sets.near_duplicates(spark.read.parquet(f"{small}/documents.parquet")).collect())
