@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm.common import read_table, scratch_path
+from keelson.llm.common import bound_batches, read_table, scratch_path
 from keelson.llm.decontaminate import drop_contaminated
 from keelson.llm.line_dedup import drop_repeated_lines
 from keelson.llm.mixing import apply_mixture
@@ -26,11 +26,13 @@ from keelson.llm.toxicity import reject_toxic
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
+    bound_batches(spark)
     return reject_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 characters or more that three documents share stay in the document with the largest id alone."""
+    bound_batches(spark)
     return drop_repeated_lines(docs)
 
 
@@ -40,6 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     SimHash fingerprints linked by vantage-point trees come first, min-wise orders find the pairs beyond their radius,
     and exact sets judge both.
     """
+    bound_batches(spark)
     return near_duplicates(docs)
 
 
@@ -50,6 +53,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents get rates so that the quality classes' expected tokens match their target shares."""
+    bound_batches(spark)
     return apply_mixture(docs, read_table(spark, sf_dir, "labels"))
 
 

@@ -21,6 +21,10 @@ NON_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: A side is broadcast only when its measured rows times its row width stay below this.
 BROADCAST_BYTES = 16 << 20
 
+#: Bytes of an Arrow batch between an executor and its Python workers (the last row may go beyond). By Spark's own bounds,
+#: 10,000 rows and 64 MB, a task holds several batches of tens of MB on both sides.
+ARROW_BYTES = 4 << 20
+
 _scratch: dict[str, str] = {}
 
 
@@ -57,6 +61,15 @@ def release(spark: SparkSession) -> None:
         pass
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by ARROW_BYTES; a smaller bound stays.
+
+    The setting stays too: Spark reads it when a plan runs, which is after an operator has returned.
+    """
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

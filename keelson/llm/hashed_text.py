@@ -11,7 +11,7 @@ import xxhash
 #: Feature space of 2 ** BITS coordinates.
 BITS = 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_CACHE_WORDS = 1 << 18
+_CACHE_WORDS = 1 << 16
 
 
 class Hasher:

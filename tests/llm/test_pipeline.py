@@ -82,5 +82,22 @@ def test_stages_meet_awkward_rows(spark, tmp_path):
                 assert sorted(got, key=str) == sorted([(r[0], r[1]) for r in rows], key=str)
 
 
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "near_dedup", "mixing"])
+def test_stages_bound_arrow_batches(spark, tmp_path, name):
+    """Texts of 30 MB in one partition reach Python in batches of a few MB; a smaller bound of the caller's stays."""
+    key, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches)
+    kept = spark.conf.get(key)
+    try:
+        for bound, most in ((kept, 8 << 20), (1 << 20, 2 << 20)):
+            spark.conf.set(key, bound)
+            spark.range(3).selectExpr("id AS doc_id", "'a few words' AS text", "'aa' AS lang", "'s' AS source", "11L AS n_chars").write.parquet(path := str(tmp_path / str(most)))
+            dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(path), SMALL)
+            texts = spark.range(0, 300, 1, 1).selectExpr("repeat(cast(id % 10 as string), 100000) AS text")
+            got = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+            assert sum(got) >= 30_000_000 and max(got) <= most
+    finally:
+        spark.conf.set(key, kept)
+
+
 def test_run(spark):
     assert 0 < corpus_pipeline.run(spark, SMALL).count() < spark.read.parquet(f"{SMALL}/documents.parquet").count()
